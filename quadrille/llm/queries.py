@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,3 +51,14 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.component_id, v.vec_id = least.component_id AS kept
 FROM v JOIN least ON least.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+
+
+@query
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, predicted
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = fit_languages(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), predicted(model, F.col("text")).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
