@@ -62,3 +62,32 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), predicted(model, F.col("text")).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    labels = read_table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), toxicity(model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import features, with_media
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = with_media(docs, F.col("text")).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), features(F.col("media")).alias("f"))
+    parts = [F.col(f"f.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
+    return stored.select("doc_id", "n_bytes", *parts, F.lower(F.hex("f.low_hash")).alias("feature"), F.col("f.low_hash").alias("low_hash"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
