@@ -91,3 +91,89 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(read_table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
+def _sharding_sql() -> str:
+    from .sharding import SHARDS, SLOTS
+
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""
+WITH RECURSIVE shards AS (
+  SELECT i, name, 1 + {number.format("name || ':step'")} % {SLOTS - 1} AS a, {number.format("name || ':offset'")} % {SLOTS} AS b
+  FROM (SELECT unnest(range({len(SHARDS)})) AS i, unnest([{", ".join(f"'{s}'" for s in SHARDS)}]) AS name)
+), fill AS (
+  SELECT 0::BIGINT AS t, NULL::BIGINT AS slot, range({SLOTS}) AS free
+  UNION ALL
+  SELECT t + 1, p, list_filter(free, lambda s: s <> p) FROM (
+    SELECT t, free, list_min(list_transform(free, lambda s: ((a * s + b) % {SLOTS}) * {SLOTS} + s)) % {SLOTS} AS p
+    FROM fill JOIN shards ON shards.i = fill.t % {len(SHARDS)} WHERE t < {SLOTS})
+), slots AS (SELECT slot, name AS shard FROM fill JOIN shards ON shards.i = (fill.t - 1) % {len(SHARDS)} WHERE t > 0)
+SELECT doc_id, d.slot, shard FROM (SELECT doc_id, {number.format("coalesce(doc_id::VARCHAR, '')")} % {SLOTS} AS slot FROM documents) d JOIN slots USING (slot)
+"""
+
+
+ORACLE_SQL["op9_sharding"] = _sharding_sql()
+
+#: The dated list of op5_urllist beside the rule for hosts: entry, added, removed (days of 2024 from 0; None: never).
+_URL_ENTRIES = [("example.net", 31, 60), ("example.org", 227, 244), ("example.com/fr", 121, 152), ("example.com/en", 300, None), ("example.net/de", 10, 20), ("example.net", 180, 185)]
+_EPOCH = 1_704_067_200
+
+
+@query
+def op5_urllist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch time and come with no list, so both follow rules: page n is fetched in minute 7919 n modulo a
+    year of 2024; a quarter of the hosts, by MD5, is listed for up to 90 days, some of those later once more for good."""
+    from .urllist import active_entries, host_of
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("at", F.lit(_EPOCH) + F.col("page_id") * 7919 % 525_600 * 60)
+    hosts = pages.select(host_of(F.col("url")).alias("entry")).where("entry is not null").distinct()
+    x = F.conv(F.substring(F.md5("entry"), 1, 8), 16, 10).cast("long")
+    day = lambda d: F.lit(_EPOCH) + d * 86_400
+    listed = hosts.withColumn("x", x).where("x % 4 = 0").withColumn("d", F.floor(F.col("x") / 7) % 300)
+    dated = F.array(
+        F.struct(F.lit(True).alias("add"), day(F.col("d")).alias("at")),
+        F.struct(F.lit(False).alias("add"), day(F.col("d") + 1 + F.floor(F.col("x") / 11) % 90).alias("at")),
+        F.struct(F.lit(True).alias("add"), F.when(F.col("x") % 16 == 0, day(F.col("d") + 200)).alias("at")),
+    )
+    events = listed.select("entry", F.explode(dated).alias("e")).select("entry", "e.add", F.col("e.at").cast("long").alias("at"))
+    fixed = [(e, add, _EPOCH + d * 86_400) for e, since, until in _URL_ENTRIES for add, d in ((True, since), (False, until)) if d is not None]
+    rows = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(a).alias("add"), F.lit(t).cast("long").alias("at")) for e, a, t in fixed])
+    events = events.unionByName(spark.range(1).select(F.inline(rows)))
+    return active_entries(captures, events).withColumnsRenamed({"id": "page_id", "at": "fetched_at"})
+
+
+ORACLE_SQL["op5_urllist"] = f"""
+WITH c AS (
+  SELECT page_id, {_EPOCH} + page_id * 7919 % 525600 * 60 AS ts,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1), '\\.+$', ''), '') AS host,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
+  FROM pages
+), h AS (SELECT entry, x, x // 7 % 300 AS d FROM (SELECT DISTINCT host AS entry, ('0x' || substr(md5(host), 1, 8))::BIGINT AS x FROM c WHERE host IS NOT NULL) WHERE x % 4 = 0
+), events AS (
+  SELECT entry, true AS add, {_EPOCH} + d * 86400 AS ts FROM h
+  UNION SELECT entry, false, {_EPOCH} + (d + 1 + x // 11 % 90) * 86400 FROM h
+  UNION SELECT entry, true, {_EPOCH} + (d + 200) * 86400 FROM h WHERE x % 16 = 0
+  UNION SELECT * FROM (VALUES {", ".join(f"('{e}', {str(a).lower()}, {_EPOCH + d * 86_400})" for e, s, u in _URL_ENTRIES for a, d in ((True, s), (False, u)) if d is not None)})
+), states AS (SELECT entry, ts, bool_or(add) AS add FROM events GROUP BY entry, ts
+), flips AS (SELECT * FROM (SELECT *, lag(add) OVER w AS before FROM states WINDOW w AS (PARTITION BY entry ORDER BY ts)) WHERE add <> coalesce(before, false)
+), spans AS (SELECT * FROM (SELECT entry, add, ts AS since, lead(ts) OVER (PARTITION BY entry ORDER BY ts) AS until FROM flips) WHERE add
+), keys AS (
+  SELECT page_id, ts, domain AS entry, segment FROM (
+    SELECT page_id, ts, segment, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.'))) AS domain
+    FROM c WHERE host IS NOT NULL)
+), asked AS (SELECT page_id, ts, entry FROM keys UNION ALL SELECT page_id, ts, entry || '/' || segment FROM keys WHERE segment IS NOT NULL
+), hits AS (
+  SELECT a.page_id, count(*) AS n, max(struct_pack(l := length(s.entry), entry := s.entry, since := s.since)) AS top
+  FROM asked a JOIN spans s ON s.entry = a.entry AND s.since <= a.ts AND (s.until IS NULL OR a.ts < s.until) GROUP BY a.page_id
+)
+SELECT c.page_id, c.host, c.ts::BIGINT AS fetched_at, coalesce(n, 0) > 0 AS blocked, coalesce(n, 0)::BIGINT AS n_active, top.entry AS entry, top.since::BIGINT AS since
+FROM c LEFT JOIN hits ON hits.page_id = c.page_id
+"""
