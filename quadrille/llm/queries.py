@@ -177,3 +177,23 @@ WITH c AS (
 SELECT c.page_id, c.host, c.ts::BIGINT AS fetched_at, coalesce(n, 0) > 0 AS blocked, coalesce(n, 0)::BIGINT AS n_active, top.entry AS entry, top.since::BIGINT AS since
 FROM c LEFT JOIN hits ON hits.page_id = c.page_id
 """
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(read_table(spark, sf_dir, "documents"), _tokenizer())).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), _tokenizer()).withColumnRenamed("id", "doc_id")
