@@ -15,15 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, star, unit_hash
 from .components import components
 
 THRESHOLD = 0.98
-#: Centres at most, and vectors to fit them on at most.
-CENTRES, SAMPLE = 4096, 65_536
+#: Centres at most, vectors to fit them on at most, and cells that a vector is sent to at most in the mean of those:
+#: the number of centres is halved until it holds. (It costs time only: any number of centres finds all links.)
+CENTRES, SAMPLE, SENT = 4096, 65_536, 6
 #: Vectors of a cell above which it is compared in blocks; blocks at most (they grow beyond that).
 BLOCK, BLOCKS = 1024, 64
 _SLACK = 1e-9
@@ -46,29 +49,36 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> n
 
 def _unit(vectors: pa.Array) -> np.ndarray:
     """Rows scaled to length one, in double precision."""
-    x = np.array(vectors.to_pylist(), np.float64) if len(vectors) else np.zeros((0, 0))
+    if not len(vectors):
+        return np.zeros((0, 0))
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cells(x: np.ndarray, centres: np.ndarray, gaps: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each unit row, and (row, cell) for each cell in which a partner of the row may be at home."""
+    near = x @ centres.T
+    home = near.argmax(1)
+    row, cell = np.nonzero(near[np.arange(len(x)), home][:, None] - near <= radius * gaps[home] + _SLACK)
+    return home, row, cell
+
+
+def _gaps(centres: np.ndarray) -> np.ndarray:
+    """Distances between centres, rounded up."""
+    return np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) + 1e-7
+
+
 def _deal(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], radius: float) -> Iterator[pa.RecordBatch]:
     """Rows (nid, label, v, mult): a row for the home and for each other cell where a partner may be at home."""
-    gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in centres.items()}
+    gaps = {d: _gaps(c) for d, c in centres.items()}
     for batch in batches:
-        dims = np.array([len(v) for v in batch.column("v")], np.int64)
+        dims = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
             for i in range(0, len(rows), 1024):
                 some = batch.take(pa.array(rows[i : i + 1024]))
-                x = _unit(some.column("v"))
-                if dim in centres:
-                    near = x @ centres[dim].T
-                    home = near.argmax(1)
-                    at = np.arange(len(x))
-                    row, cell = np.nonzero(near[at, home][:, None] - near <= radius * gaps[dim][home] + _SLACK)
-                else:
-                    home = np.zeros(len(x), np.int64)
-                    row, cell = np.arange(len(x)), home
+                home, row, cell = cells(_unit(some.column("v")), centres[dim], gaps[dim], radius)
                 sent = some.take(pa.array(row))
                 yield pa.record_batch(
                     {
@@ -102,7 +112,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         nid, mult = rows.column("nid").to_numpy(), rows.column("mult").to_numpy()
-        asks, gives = (np.asarray(rows.column(c).to_pylist(), bool) for c in ("asks", "gives"))
+        asks, gives = (rows.column(c).to_numpy() for c in ("asks", "gives"))
         change = np.zeros(len(nid), bool)
         for c in keys:
             col = rows.column(c).to_numpy()
@@ -165,9 +175,12 @@ def near_vectors(
     components link with nothing: n_links 0, component_id the own id. Repeated rows are rows of their own, linked with
     each other. Null ids never are a component's smallest; component_id is null only where all its ids are, and kept
     (id = component_id) then is true. No rows, no rows. Other columns are not read."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    v = F.col(vector_col)
+    if not isinstance(df.schema[vector_col].dataType.elementType, T.FloatType):
+        v = F.transform(v, lambda x: x.cast("double"))
+    vectors = "array<float>" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast("double")))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("sound", sound).withColumns({f"h{i}": F.when(F.col("sound"), F.xxhash64(F.lit(i), "label", "v")) for i in (1, 2)})
     distinct = (
@@ -178,11 +191,11 @@ def near_vectors(
         .withColumn("nid", F.monotonically_increasing_id())
     )
     distinct = materialize(distinct, "vectors")
-    centres = _centres(distinct, seed)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    centres = _centres(distinct, radius, seed)
     dealt = materialize(
         distinct.select("nid", "label", "v", "mult").mapInArrow(
-            lambda batches: _deal(batches, centres, radius), "nid long, label long, dim int, cell int, home boolean, mult long, v array<double>"
+            lambda batches: _deal(batches, centres, radius), f"nid long, label long, dim int, cell int, home boolean, mult long, v {vectors}"
         ),
         "cells",
     )
@@ -225,9 +238,9 @@ def _at(qb, db, asks, gives):
     return F.struct(qb.alias("qb"), db.alias("db"), asks.alias("asks"), gives.alias("gives"))
 
 
-def _centres(distinct: DataFrame, seed: int) -> dict[int, np.ndarray]:
-    """Centres for each number of components: the square root of the rows over four of them, fitted on a sample of at
-    most SAMPLE rows."""
+def _centres(distinct: DataFrame, radius: float, seed: int) -> dict[int, np.ndarray]:
+    """Centres for each number of components: the square root of the rows over four of them, or so many fewer that a
+    vector of the sample goes to SENT cells in the mean; fitted on a sample of at most SAMPLE rows."""
     out = {}
     for r in distinct.groupBy(F.size("v").alias("dim")).count().collect():
         k = int(min(CENTRES, max(1, round(r["count"] ** 0.5 / 4))))
@@ -235,6 +248,14 @@ def _centres(distinct: DataFrame, seed: int) -> dict[int, np.ndarray]:
         u = unit_hash(seed, F.col("h1"), F.col("h2"))
         some = distinct.where((F.size("v") == r["dim"]) & (u < 1.2 * most / r["count"])).select(u.alias("u"), "v").toArrow()
         order = np.argsort(some.column("u").to_numpy(), kind="stable")[:most]
-        if len(order):
-            out[int(r["dim"])] = spherical_kmeans(_unit(some.column("v").combine_chunks().take(pa.array(order))), k, seed=seed)
+        if not len(order):
+            out[int(r["dim"])] = np.eye(1, int(r["dim"]))
+            continue
+        x = _unit(some.column("v").combine_chunks().take(pa.array(order)))
+        while True:
+            out[int(r["dim"])] = c = spherical_kmeans(x, k, seed=seed)
+            gaps = _gaps(c)
+            if k == 1 or sum(len(cells(x[i : i + 1024], c, gaps, radius)[1]) for i in range(0, len(x), 1024)) <= SENT * len(x):
+                break
+            k //= 2
     return out
