@@ -130,27 +130,39 @@ def _rotate(a: Column, n: int) -> Column:
     return F.shiftleft(a, n).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).bitwiseOR(F.shiftright(a, 32 - n))
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), the value worked out and named once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def murmur3_32(value: Column) -> Column:
     """MurmurHash3 x86-32, seed 0, as a number from 0 to 2^32 - 1. Characters count as their code (below 256: as bytes)."""
+    whole = F.lit(0xFFFFFFFF).cast("long")
     codes = F.when(value == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(value, ""), lambda c: F.ascii(c).cast("long")))
-    size = F.size(codes)
-    at = lambda i: F.coalesce(F.get(codes, i), F.lit(0).cast("long"))
-
-    def block(i: Column) -> Column:
-        k = at(i).bitwiseXOR(F.shiftleft(at(i + 1), 8)).bitwiseXOR(F.shiftleft(at(i + 2), 16)).bitwiseXOR(F.shiftleft(at(i + 3).bitwiseAND(F.lit(255)), 24))
-        k = k.bitwiseXOR(F.shiftright(at(i + 3).bitwiseAND(F.lit(0xFF00)), 8)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        return _times(_rotate(_times(k, 0xCC9E2D51), 15), 0x1B873593)
-
-    full = F.shiftright(size, 2)
-    starts = F.when(full > 0, F.transform(F.sequence(F.lit(0), F.greatest(full - 1, F.lit(0))), lambda i: i * 4)).otherwise(F.array().cast("array<int>"))
-    step = lambda h, i: (_times(_rotate(h.bitwiseXOR(block(i)), 13), 5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    h = F.aggregate(starts, F.lit(0).cast("long"), step)
-    h = F.when(size % 4 > 0, h.bitwiseXOR(block(full * 4))).otherwise(h).bitwiseXOR(size.cast("long"))
-    # the finish, each step named once, or the expression doubles with each
-    finish = F.array(h)
+
+    def mixed(k: Column) -> Column:
+        return _times(_bound(_times(k, 0xCC9E2D51), lambda x: _rotate(x, 15)), 0x1B873593)
+
+    def block(c: Column, i: Column) -> Column:
+        at = lambda j: F.coalesce(F.get(c, i + j), F.lit(0).cast("long"))
+        last = _bound(at(3), lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 24).bitwiseXOR(F.shiftright(x.bitwiseAND(F.lit(0xFF00)), 8)))
+        k = at(0).bitwiseXOR(F.shiftleft(at(1), 8)).bitwiseXOR(F.shiftleft(at(2), 16)).bitwiseXOR(last)
+        return _bound(k.bitwiseAND(whole), mixed)
+
+    def step(h: Column, k: Column) -> Column:
+        return _bound(h.bitwiseXOR(k), lambda x: (_times(_rotate(x, 13), 5) + F.lit(0xE6546B64)).bitwiseAND(whole))
+
+    def hashed(c: Column) -> Column:
+        full = F.shiftright(F.size(c), 2)
+        starts = F.filter(F.sequence(F.lit(0), F.size(c)), lambda i: (i % 4 == 0) & (i < full * 4))
+        h = F.aggregate(F.transform(starts, lambda i: block(c, i)), F.lit(0).cast("long"), step)
+        # a block that the text does not fill is zero beyond it, and zero changes nothing
+        return h.bitwiseXOR(block(c, full * 4)).bitwiseXOR(F.size(c).cast("long"))
+
+    out = _bound(codes, hashed)
     for turn in (lambda x: _times(x.bitwiseXOR(F.shiftright(x, 16)), 0x85EBCA6B), lambda x: _times(x.bitwiseXOR(F.shiftright(x, 13)), 0xC2B2AE35), lambda x: x.bitwiseXOR(F.shiftright(x, 16))):
-        finish = F.transform(finish, turn)
-    return F.get(finish, F.lit(0))
+        out = _bound(out, turn)
+    return out
 
 
 def hex32(number: Column) -> Column:
@@ -160,10 +172,13 @@ def hex32(number: Column) -> Column:
 
 def fnv1a_32(value: Column, basis: int = 0x811C9DC5) -> Column:
     """FNV-1a, 32 bits, of a text's UTF-8 bytes."""
-    digits = F.hex(F.encode(value, "UTF-8"))
-    bytes_ = F.when(value == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)))
-    byte = lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")
-    return F.aggregate(bytes_, F.lit(basis).cast("long"), lambda h, i: _times(h.bitwiseXOR(byte(i)), 0x01000193))
+
+    def hashed(digits: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.length(digits) + 1), lambda i: (i % 2 == 1) & (i <= F.length(digits)))
+        byte = lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long")
+        return F.aggregate(places, F.lit(basis).cast("long"), lambda h, i: _bound(h.bitwiseXOR(byte(i)), lambda x: _times(x, 0x01000193)))
+
+    return _bound(F.hex(F.encode(value, "UTF-8")), hashed)
 
 
 def code_sum(value: Column) -> Column:
