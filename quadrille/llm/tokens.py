@@ -16,9 +16,16 @@ import numpy as np
 from .common import spread
 
 _BLANK = r"[\s\u0085᠎​-‍⁠﻿]"
-_GAP, _END = re.compile(_BLANK + "{3}"), re.compile(_BLANK + "{2}")
+_GAP, _END, _ANY = re.compile(_BLANK + "{3}"), re.compile(_BLANK + "{2}"), re.compile(_BLANK)
 #: Distinct parts, and their ids, that a worker keeps; beyond that it begins anew.
-PARTS, IDS = 600_000, 8_000_000
+PARTS, IDS = 200_000, 2_000_000
+
+
+class _Numbers(dict):
+    """Numbers of parts; -1 for one that is not there."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
 
 
 class Encoder:
@@ -33,6 +40,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Which ids begin with a space.
+        self.spaced = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self._clear()
 
     @classmethod
@@ -43,25 +53,45 @@ class Encoder:
 
     def _clear(self) -> None:
         #: Numbers of parts: those that follow a space, without it, and those that begin a text.
-        self.led: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
+        self.led, self.heads = _Numbers(), _Numbers()
         self.n, self.used = 0, 0
         self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n
 
-    def _numbers(self, parts: list[str], known: dict[str, int], front: str) -> np.ndarray:
-        get = known.get
-        out = np.fromiter([get(p, -1) for p in parts], np.int64, len(parts))
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _library() of the parts, each with a space in front. Those without a blank are one text for the library: the
+        ids that begin with a space tell where each begins."""
+        plain = np.array([bool(p) and not _ANY.search(p) for p in parts], bool)
+        some = np.flatnonzero(plain)
+        if len(some):
+            ids, _ = self._library([" " + " ".join([parts[i] for i in some.tolist()])])
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) != len(some) or begin[0] != 0:
+                return self._library([" " + p for p in parts])
+            if len(some) == len(parts):
+                return ids, np.diff(np.concatenate((begin, [len(ids)])))
+            others = np.flatnonzero(~plain)
+            more, n = self._library([" " + parts[i] for i in others.tolist()])
+            size = np.zeros(len(parts), np.int64)
+            size[some], size[others] = np.diff(np.concatenate((begin, [len(ids)]))), n
+            out, starts = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+            out[spread(starts[some], size[some])] = ids
+            out[spread(starts[others], n)] = more
+            return out, size
+        return self._library([" " + p for p in parts])
+
+    def _numbers(self, parts: list[str], known: _Numbers, led: bool) -> np.ndarray:
+        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         if len(unknown := np.flatnonzero(out < 0)):
             unknown = unknown.tolist()
             new = list(dict.fromkeys([parts[i] for i in unknown]))
             for i in range(0, len(new), 10_000):
                 some = new[i : i + 10_000]
-                ids, n = self._library([front + p for p in some] if front else some)
+                ids, n = self._parts(some) if led else self._library(some)
                 first, size = self.n, self.used + len(ids)
                 if first + len(some) > len(self.starts):
                     self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(some), np.int64))) for x in (self.starts, self.lengths))
@@ -91,8 +121,8 @@ class Encoder:
         which = np.empty(int(edges[-1]), np.int64)
         begin = np.zeros(len(which), bool)
         begin[edges[:-1][counts > 0]] = True
-        which[begin] = self._numbers(heads, self.heads, "")
-        which[~begin] = self._numbers(led, self.led, " ")
+        which[begin] = self._numbers(heads, self.heads, False)
+        which[~begin] = self._numbers(led, self.led, True)
         lengths = self.lengths[which]
         run = np.concatenate(([0], np.cumsum(lengths)))
         n = run[edges[1:]] - run[edges[:-1]]
