@@ -70,13 +70,10 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     at, data = text_buffers(pc.utf8_lower(pc.fill_null(texts, "")))
     for i, j in runs(at, CHUNK):
         if j - i == 1:
-            whole = data[at[i] : at[j]]
-            for k in range(0, max(1, len(whole)), CHUNK):
-                piece = np.full(min(CHUNK, len(whole) - k) + 4, 32, np.uint8)
-                before = k > 0
-                piece[0] = whole[k - 1] if before else 32
-                part = whole[k : k + CHUNK + 3]
-                piece[1 : 1 + len(part)] = part
+            whole = np.full(int(at[j] - at[i]) + 4, 32, np.uint8)
+            whole[1:-3] = data[at[i] : at[j]]
+            for k in range(0, len(whole) - 3, CHUNK):
+                piece = whole[k : k + CHUNK + 3]
                 yield i, 1, np.array([0, len(piece) - 3]), piece
         else:
             lengths = np.diff(at[i : j + 1])
@@ -114,7 +111,7 @@ def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 40, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge loss, classes weighed evenly), by dual
     coordinate descent on the Gram matrix. y: 1 or -1."""
-    gram = x @ x.T + 1.0
+    gram = (x @ x.T).astype(np.float64) + 1.0
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     diagonal = gram.diagonal() + 0.5 / cost
     alpha, f = np.zeros(len(y)), np.zeros(len(y))
@@ -129,7 +126,7 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 40, seed: in
                 moved = max(moved, abs(step))
         if moved < 1e-4:
             break
-    return (alpha * y) @ x, float((alpha * y).sum())
+    return ((alpha * y).astype(x.dtype) @ x).astype(np.float64), float((alpha * y).sum())
 
 
 class LanguageModel:
@@ -145,18 +142,19 @@ class LanguageModel:
         """rows: (language, buckets, counts)."""
         langs = sorted({r[0] for r in rows})
         families = sorted({_FAMILY.get(x, x) for x in langs})
-        x = np.zeros((len(rows), BUCKETS))
+        x = np.zeros((len(rows), BUCKETS), np.float32)
         for i, (_, at, n) in enumerate(rows):
             x[i, at] = n / max(1, n.sum())
-        mean = x.mean(0) if len(rows) else np.zeros(BUCKETS)
-        scale = 1 / (x.std(0) + 1e-4) if len(rows) else np.ones(BUCKETS)
-        x = ((x - mean) * scale) / np.sqrt(BUCKETS)
+        mean = x.mean(0, dtype=np.float64) if len(rows) else np.zeros(BUCKETS)
+        x -= mean.astype(np.float32)
+        scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(1, len(rows))) + 1e-4) if len(rows) else np.ones(BUCKETS)
+        x *= (scale / np.sqrt(BUCKETS)).astype(np.float32)
         own = np.array([r[0] for r in rows])
         family = np.array([_FAMILY.get(r[0], r[0]) for r in rows])
         weights, bias = [], []
 
         def add(some: np.ndarray, y: np.ndarray) -> None:
-            w, b = svm(x[some], y, seed=seed)
+            w, b = svm(x if len(some) == len(x) else x[some], y, seed=seed)
             w = w * scale / np.sqrt(BUCKETS)
             weights.append(w)
             bias.append(b - w @ mean)
