@@ -30,8 +30,8 @@ from .tokens import Encoder
 
 WINDOW = 1024
 END = 0
-#: Steps of the solver at most; rests of a length that are numbered by one task, about.
-STEPS, GROUP = 4000, 2000
+#: Steps of the solver at most, times it is run on what is left; rests of a length that one task numbers, about.
+STEPS, ROUNDS, GROUP = 3000, 3, 500
 
 
 @cache
@@ -45,14 +45,11 @@ def combinations(window: int) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
 
 
-def solve(histogram: np.ndarray, window: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """histogram[l]: rests of length l (0 counts for nothing). Combinations and how often each is used, whole numbers
-    that together use no length more often than it is there."""
-    combos = combinations(window)
-    left = histogram.astype(np.float64).copy()
+def _solve(free: np.ndarray, combos: np.ndarray, steps: int) -> np.ndarray:
+    """How often each combination is used, rounded down so that no length is used more often than free has it; what is
+    used is taken from free."""
+    left = free.astype(np.float64)
     left[0] = 0
-    if not len(combos):
-        return combos, np.zeros(0, np.int64)
     a, b, c = combos.T
     norm = 2.0 + (c > 0) + 2.0 * ((a == b) + 0.0) + 2.0 * ((b == c) + 0.0) + 2.0 * ((a == c) + 0.0)
     uses = np.zeros(len(combos))
@@ -66,13 +63,25 @@ def solve(histogram: np.ndarray, window: int, steps: int = STEPS) -> tuple[np.nd
             if x:
                 left[x] -= step[j]
     counts = np.zeros(len(combos), np.int64)
-    free = histogram.astype(np.int64).copy()
     picked = np.flatnonzero(uses >= 1)
     for j in picked[np.argsort(-uses[picked], kind="stable")]:
         size, times = np.unique(combos[j][combos[j] > 0], return_counts=True)
         n = min(int(uses[j]), int((free[size] // times).min()))
         counts[j] = n
         free[size] -= n * times
+    return counts
+
+
+def solve(histogram: np.ndarray, window: int, steps: int = STEPS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """histogram[l]: rests of length l (0 counts for nothing). Combinations and how often each is used, whole numbers
+    that together use no length more often than it is there. What rounding leaves is solved for again, `rounds` times."""
+    combos, free = combinations(window), histogram.astype(np.int64)
+    counts = np.zeros(len(combos), np.int64)
+    for _ in range(rounds if len(combos) else 0):
+        more = _solve(free, combos, steps)
+        counts += more
+        if not more.any():
+            break
     on = counts > 0
     return combos[on], counts[on]
 
