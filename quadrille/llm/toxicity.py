@@ -157,7 +157,7 @@ class ToxicityModel:
                 first = np.flatnonzero(np.concatenate(([True], r[order][1:] != r[order][:-1])))
                 rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate((first, [len(order)]))))
                 for k in order[rank < most]:
-                    spans[i + r[k]].append((mean[k] + self.bias, data[starts[a[k]] - 1 : ends[b[k] - 1] + 1]))
+                    spans[i + r[k]].append((mean[k] + self.bias, data[starts[a[k]] - 1 : ends[b[k] - 1] + 1].copy()))
         spans = [sorted(x, key=lambda s: -s[0])[:most] for x in spans]
         return np.array([x[0][0] if x else -np.inf for x in spans]), spans
 
@@ -172,28 +172,35 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _counts(spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pointers, buckets, shares) of each span's bag; the shares add up to one, or less if words repeat."""
-    data = np.concatenate(spans)
-    place = np.cumsum([0, *map(len, spans)])
-    starts, ends = words_of(data)
-    row = np.searchsorted(place, starts, "right") - 1
-    parts = bag(data, starts, ends)
-    hashes, _ = next(parts)
-    keep = _first(hashes, row)
-    keys, total = [row[keep] * BUCKETS + _bucket(hashes)[keep]], np.bincount(row, minlength=len(spans))
-    for grams, m in parts:
-        keys.append((np.repeat(row, m) * BUCKETS + _bucket(grams))[np.repeat(keep, m)])
-        total += np.bincount(row, m, len(spans)).astype(np.int64)
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    own = key // BUCKETS
-    return np.searchsorted(own, np.arange(len(spans) + 1)), key % BUCKETS, n / np.maximum(1, total)[own]
-
-
-def _contrast(whole: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _counts(spans: list[np.ndarray], most: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pointers, buckets, shares) of each span's bag, worked out for `most` spans at a time; the shares add up to one, or
+    less if words repeat."""
+    sizes, buckets, shares = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for i in range(0, len(spans), most):
+        some = spans[i : i + most]
+        data, place = np.concatenate(some), np.cumsum([0, *map(len, some)])
+        starts, ends = words_of(data)
+        row = np.searchsorted(place, starts, "right") - 1
+        parts = bag(data, starts, ends)
+        hashes, _ = next(parts)
+        keep = _first(hashes, row)
+        keys, total = [row[keep] * BUCKETS + _bucket(hashes)[keep]], np.bincount(row, minlength=len(some))
+        for grams, m in parts:
+            keys.append((np.repeat(row, m) * BUCKETS + _bucket(grams))[np.repeat(keep, m)])
+            total += np.bincount(row, m, len(some)).astype(np.int64)
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        own = key // BUCKETS
+        sizes.append(np.bincount(own, minlength=len(some)))
+        buckets.append((key % BUCKETS).astype(np.int32))
+        shares.append((n / np.maximum(1, total)[own]).astype(np.float32))
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(buckets), np.concatenate(shares)
+
+
+def _contrast(texts: list[str], y: np.ndarray) -> np.ndarray:
     """For each bucket, by how many standard errors more of the toxic documents than of the others have it."""
     has = np.zeros((2, BUCKETS))
-    for data, c in zip(whole, y, strict=True):
+    for text, c in zip(texts, y, strict=True):
+        data = np.concatenate(([np.uint8(32)], _MAP[np.frombuffer(text.lower().encode(), np.uint8)], [np.uint8(32)]))
         starts, ends = words_of(data)
         if len(starts):
             has[c][np.unique(np.concatenate([_bucket(h) for h, _ in bag(data, starts, ends)]))] += 1
@@ -244,11 +251,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 3, epochs:
         fixed = prior if not len(y) else (4.0 if y.min() else -4.0)
         return ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, fixed, fixed)
     array = pa.array(texts, pa.large_string())
-    whole = []
-    for text in texts:
-        data = np.frombuffer(text.lower().encode(), np.uint8)
-        whole.append(np.concatenate(([np.uint8(32)], _MAP[data], [np.uint8(32)])))
-    model, state = ToxicityModel(_contrast(whole, y), 0.0), None
+    model, state = ToxicityModel(_contrast(texts, y), 0.0), None
     for r in range(rounds):
         # of a toxic document also its next spans, if they score nearly as high
         chosen = [(c, data) for c, found in zip(y, model.worst(array, SPANS)[1], strict=True) for v, data in found if not c or v >= found[0][0] - abs(found[0][0]) / 2]
@@ -312,6 +315,7 @@ def fit_toxicity(
             taken[r["y"]] += 1
             used += b
             chosen.append(r)
+    del rows
     return fit([r["text"] for r in chosen], np.array([r["y"] for r in chosen], np.int64), n.get(1, 0) / sum(n.values()), seed=seed)
 
 
