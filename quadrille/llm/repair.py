@@ -162,7 +162,7 @@ def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = 1 << 20) ->
     texts = texts.fill_null("")
     at, _ = text_buffers(texts)
     for i, j in runs(at, most):
-        ids, n = encoder.encode(texts.slice(i, j - i).to_pylist())
+        ids, n = encoder.encode(texts.slice(i, j - i))
         out = np.full(len(ids) + len(n), end, np.uint32)
         out[spread(np.cumsum(n + 1) - n - 1, n)] = ids
         yield i, j - i, out, n + 1

@@ -2,7 +2,8 @@
 
 Byte-level BPE splits a text before it merges, and a single space in front of a word always begins a new piece. So a
 text without longer runs of white space is the concatenation of its space-led parts, which repeat a great deal; each
-distinct part goes to the library once, and a text's ids are gathered from what it gave. Texts for which that reasoning
+distinct part goes to the library once, and a text's ids are gathered from what it gave. For the same reason a part is
+the concatenation of its word, the marks behind it and, after a single line feed, the next word. Texts for which that reasoning
 does not hold (three blanks running, two at the end, a special token's string) go to the library whole.
 """
 
@@ -10,13 +11,22 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import spread
 
-_BLANK = r"[\s\u0085᠎​-‍⁠﻿]"
-_GAP, _END, _ANY = re.compile(_BLANK + "{3}"), re.compile(_BLANK + "{2}"), re.compile(_BLANK)
+#: White space as any of the library's patterns may see it, and what may stand in its place.
+_BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+_ODD = _BLANK + "{3}|" + _BLANK + r"{2}\z"
+_ANY = re.compile(r"[\s\u0085\u180e\u200b-\u200d\u2060\ufeff]")
+#: A letter or digit and the marks behind it never share a piece; nor does a single line feed with what stands around it.
+_ENDS, _MARKS = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", '[.,;:!?)"]+'
+_COMPOUND = rf"\n|{_ENDS}{_MARKS}\z"
+_MARKED = re.compile(f"(.*{_ENDS})({_MARKS})", re.S)
 #: Distinct parts, and their ids, that a worker keeps; beyond that it begins anew.
 PARTS, IDS = 200_000, 2_000_000
 
@@ -60,80 +70,119 @@ class Encoder:
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As _library() of the parts, each with a space in front. Those without a blank are one text for the library: the
         ids that begin with a space tell where each begins."""
-        plain = np.array([bool(p) and not _ANY.search(p) for p in parts], bool)
-        some = np.flatnonzero(plain)
-        if len(some):
-            ids, _ = self._library([" " + " ".join([parts[i] for i in some.tolist()])])
-            begin = np.flatnonzero(self.spaced[ids])
-            if len(begin) != len(some) or begin[0] != 0:
-                return self._library([" " + p for p in parts])
-            if len(some) == len(parts):
-                return ids, np.diff(np.concatenate((begin, [len(ids)])))
-            others = np.flatnonzero(~plain)
-            more, n = self._library([" " + parts[i] for i in others.tolist()])
-            size = np.zeros(len(parts), np.int64)
-            size[some], size[others] = np.diff(np.concatenate((begin, [len(ids)]))), n
-            out, starts = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
-            out[spread(starts[some], size[some])] = ids
-            out[spread(starts[others], n)] = more
-            return out, size
-        return self._library([" " + p for p in parts])
-
-    def _numbers(self, parts: list[str], known: _Numbers, led: bool) -> np.ndarray:
-        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        if len(unknown := np.flatnonzero(out < 0)):
-            unknown = unknown.tolist()
-            new = list(dict.fromkeys([parts[i] for i in unknown]))
-            for i in range(0, len(new), 10_000):
-                some = new[i : i + 10_000]
-                ids, n = self._parts(some) if led else self._library(some)
-                first, size = self.n, self.used + len(ids)
-                if first + len(some) > len(self.starts):
-                    self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(some), np.int64))) for x in (self.starts, self.lengths))
-                if size > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros(size, np.uint32)))
-                self.ids[self.used : size] = ids
-                self.lengths[first : first + len(some)] = n
-                self.starts[first : first + len(some)] = self.used + np.cumsum(n) - n
-                known.update(zip(some, range(first, first + len(some)), strict=True))
-                self.n, self.used = first + len(some), size
-            out[unknown] = [known[parts[i]] for i in unknown]
+        array = pa.array(parts, pa.large_string())
+        others = np.flatnonzero(pc.or_(pc.match_substring_regex(array, _BLANK), pc.equal(array, "")).to_numpy(zero_copy_only=False))
+        apart = set(others.tolist())
+        joined = [p for i, p in enumerate(parts) if i not in apart] if apart else parts
+        if not joined:
+            return self._library([" " + p for p in parts])
+        ids, _ = self._library([" " + " ".join(joined)])
+        begin = np.flatnonzero(self.spaced[ids])
+        if len(begin) != len(joined) or begin[0] != 0:
+            return self._library([" " + p for p in parts])
+        n = np.diff(np.concatenate((begin, [len(ids)])))
+        if not apart:
+            return ids, n
+        more, m = self._library([" " + parts[i] for i in others.tolist()])
+        size, mask = np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
+        mask[others] = False
+        size[mask], size[others] = n, m
+        out, starts = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        out[spread(starts[mask], n)] = ids
+        out[spread(starts[others], m)] = more
+        return out, size
+
+    def _store(self, names: list[str], known: _Numbers, ids: np.ndarray, n: np.ndarray) -> None:
+        first, size = self.n, self.used + len(ids)
+        if first + len(names) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(names), np.int64))) for x in (self.starts, self.lengths))
+        if size > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(size, np.uint32)))
+        self.ids[self.used : size] = ids
+        self.lengths[first : first + len(names)] = n
+        self.starts[first : first + len(names)] = self.used + np.cumsum(n) - n
+        known.update(zip(names, range(first, first + len(names)), strict=True))
+        self.n, self.used = first + len(names), size
+
+    def _atoms(self, part: str, led: bool) -> list[tuple[bool, str]]:
+        """(whether it follows a space, what) of the strings whose ids, one after another, are the part's."""
+        lines = part.split("\n")
+        if len(lines) > 1 and not all(x and not _ANY.search(x) for x in lines):
+            return [(led, part)]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append((False, "\n"))
+            found = _MARKED.fullmatch(line)
+            out += [(led and not i, found[1]), (False, found[2])] if found else [(led and not i, line)]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, parts: list[str], compound: np.ndarray, led: bool) -> None:
+        """Makes distinct parts known: the library has each that is not compound, and each atom of those that are."""
+        known = {True: self.led, False: self.heads}
+        wanted: dict[bool, dict[str, None]] = {not led: {}, led: dict.fromkeys([parts[i] for i in np.flatnonzero(~compound).tolist()])}
+        spelt = {}
+        for i in np.flatnonzero(compound).tolist():
+            atoms = self._atoms(parts[i], led)
+            if len(atoms) > 1:
+                spelt[parts[i]] = atoms
+            for kind, atom in atoms:
+                if atom not in known[kind]:
+                    wanted[kind][atom] = None
+        for kind, some in wanted.items():
+            names = list(some)
+            for i in range(0, len(names), 10_000):
+                few = names[i : i + 10_000]
+                self._store(few, known[kind], *(self._parts(few) if kind else self._library(few)))
+        # a part may have become known as an atom of another only if it is no compound itself
+        if spelt:
+            which = np.array([known[kind][atom] for atoms in spelt.values() for kind, atom in atoms], np.int64)
+            lengths, many = self.lengths[which], np.fromiter(map(len, spelt.values()), np.int64, len(spelt))
+            run = np.concatenate(([0], np.cumsum(lengths)))
+            ends = np.cumsum(many)
+            self._store(list(spelt), known[led], self.ids[spread(self.starts[which], lengths)], run[ends] - run[ends - many])
+
+    def _numbers(self, parts: pa.Array, led: bool) -> np.ndarray:
+        found = parts.dictionary_encode()
+        names, known = found.dictionary.to_numpy(zero_copy_only=False).tolist(), self.led if led else self.heads
+        out = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        if len(unknown := np.flatnonzero(out < 0)):
+            new = [names[i] for i in unknown.tolist()]
+            self._learn(new, pc.match_substring_regex(found.dictionary.take(pa.array(unknown)), _COMPOUND).to_numpy(zero_copy_only=False), led)
+            out[unknown] = [known[p] for p in new]
+        return out[found.indices.to_numpy(zero_copy_only=False)]
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > PARTS or self.used > IDS:
             self._clear()
-        whole = [i for i, t in enumerate(texts) if _GAP.search(t) or _END.fullmatch(t[-2:]) or any(s in t for s in self.special)]
-        apart = set(whole)
-        heads, led, counts = [], [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if i not in apart and t:
-                found = t.split(" ")
-                heads.append(found[0])
-                counts[i] = len(found)
-                led += found[1:]
-        edges = np.concatenate(([0], np.cumsum(counts)))
-        which = np.empty(int(edges[-1]), np.int64)
-        begin = np.zeros(len(which), bool)
-        begin[edges[:-1][counts > 0]] = True
-        which[begin] = self._numbers(heads, self.heads, False)
-        which[~begin] = self._numbers(led, self.led, True)
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        apart = odd.to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pc.invert(odd)) if apart.any() else texts, " ")
+        parts = split.flatten()
+        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))
+        begin = np.zeros(len(parts), bool)
+        begin[edges[:-1]] = True
+        which = np.empty(len(parts), np.int64)
+        which[begin] = self._numbers(parts.filter(pa.array(begin)), False)
+        which[~begin] = self._numbers(parts.filter(pa.array(~begin)), True)
         lengths = self.lengths[which]
         run = np.concatenate(([0], np.cumsum(lengths)))
         n = run[edges[1:]] - run[edges[:-1]]
         ids = self.ids[spread(self.starts[which], lengths)]
-        if not whole:
+        if not apart.any():
             return ids, n
-        more, n[whole] = self._library([texts[i] for i in whole])
-        out = np.empty(int(n.sum()), np.uint32)
-        starts = np.cumsum(n) - n
-        mask = np.ones(len(texts), bool)
-        mask[whole] = False
-        out[spread(starts[mask], n[mask])] = ids
-        out[spread(starts[whole], n[whole])] = more
-        return out, n
+        more, m = self._library(texts.filter(odd).to_pylist())
+        size = np.empty(len(texts), np.int64)
+        size[~apart], size[apart] = n, m
+        out, starts = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        out[spread(starts[~apart], n)] = ids
+        out[spread(starts[apart], m)] = more
+        return out, size
