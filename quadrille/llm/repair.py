@@ -74,32 +74,43 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end: int = END) -> bytes:
 def _round(seq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that become symbols n, n + 1, .., and the sequence with them in place."""
     a, b = seq[:-1], seq[1:]
-    key = a.astype(np.uint64) << np.uint64(32) | b
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-    sound = (a != 0) & (b != 0)
-    counts = np.bincount(bucket[sound], minlength=1 << _BUCKETS)
+    bucket = a * np.uint32(0x9E3779B1)
+    bucket += b
+    bucket *= np.uint32(0x85EBCA6B)
+    bucket >>= np.uint32(32 - _BUCKETS)
+    bucket = bucket.astype(np.int64)
+    # pairs with the end of a document have a bucket that is never chosen
+    ends = np.flatnonzero(seq == 0)
+    bucket[ends[ends < len(bucket)]] = 1 << _BUCKETS
+    bucket[ends[ends > 0] - 1] = 1 << _BUCKETS
+    counts = np.bincount(bucket, minlength=(1 << _BUCKETS) + 1)[:-1]
     top = np.argpartition(counts, -PAIRS)[-PAIRS:]
     top = top[counts[top] >= LEAST]
-    chosen = np.zeros(1 << _BUCKETS, bool)
+    chosen = np.zeros((1 << _BUCKETS) + 1, bool)
     chosen[top] = True
-    at = np.flatnonzero(chosen[bucket] & sound)
+    at = np.flatnonzero(chosen[bucket])
     if not len(at):
         return np.zeros((0, 2), np.uint32), seq
+    bucket = bucket[at]
+    key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
     # of pairs that share a bucket the one that occurs last stands for it
     stands = np.zeros(1 << _BUCKETS, np.uint64)
-    stands[bucket[at]] = key[at]
-    at = at[stands[bucket[at]] == key[at]]
+    stands[bucket] = key
+    same = stands[bucket] == key
+    at, bucket = at[same], bucket[same]
     # of matches that overlap in a row, every other one
     first = np.concatenate(([True], at[1:] != at[:-1] + 1))
     place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    at = at[place % 2 == 0]
-    used = np.bincount(bucket[at], minlength=1 << _BUCKETS)
+    even = place % 2 == 0
+    at, bucket = at[even], bucket[even]
+    used = np.bincount(bucket, minlength=1 << _BUCKETS)
     kept = np.flatnonzero(used >= LEAST // 2)
     symbol = np.zeros(1 << _BUCKETS, np.int64)
     symbol[kept] = n + np.arange(len(kept))
-    at = at[used[bucket[at]] >= LEAST // 2]
+    often = used[bucket] >= LEAST // 2
+    at, bucket = at[often], bucket[often]
     out = seq.copy()
-    out[at] = symbol[bucket[at]]
+    out[at] = symbol[bucket]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     pairs = np.stack((stands[kept] >> np.uint64(32), stands[kept] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)

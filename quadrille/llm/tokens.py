@@ -24,11 +24,11 @@ _BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d
 _ODD = _BLANK + "{3}|" + _BLANK + r"{2}\z"
 _ANY = re.compile(r"[\s\u0085\u180e\u200b-\u200d\u2060\ufeff]")
 #: A letter or digit and the marks behind it never share a piece; nor does a single line feed with what stands around it.
-_ENDS, _MARKS = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", '[.,;:!?)"]+'
-_COMPOUND = rf"\n|{_ENDS}{_MARKS}\z"
-_MARKED = re.compile(f"(.*{_ENDS})({_MARKS})", re.S)
+_ENDS, _MARKS = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", '.,;:!?)"'
+_COMPOUND = rf"\n|{_ENDS}[{_MARKS}]+\z"
+_END = re.compile(_ENDS)
 #: Distinct parts, and their ids, that a worker keeps; beyond that it begins anew.
-PARTS, IDS = 200_000, 2_000_000
+PARTS, IDS = 300_000, 2_000_000
 
 
 class _Numbers(dict):
@@ -118,8 +118,9 @@ class Encoder:
         for i, line in enumerate(lines):
             if i:
                 out.append((False, "\n"))
-            found = _MARKED.fullmatch(line)
-            out += [(led and not i, found[1]), (False, found[2])] if found else [(led and not i, line)]
+            word = line.rstrip(_MARKS)
+            marked = len(word) < len(line) and _END.match(word[-1:])
+            out += [(led and not i, word), (False, line[len(word) :])] if marked else [(led and not i, line)]
         return out
 
     def _learn(self, parts: list[str], compound: np.ndarray, led: bool) -> None:
@@ -128,9 +129,14 @@ class Encoder:
         wanted: dict[bool, dict[str, None]] = {not led: {}, led: dict.fromkeys([parts[i] for i in np.flatnonzero(~compound).tolist()])}
         spelt = {}
         for i in np.flatnonzero(compound).tolist():
-            atoms = self._atoms(parts[i], led)
+            part = parts[i]
+            if "\n" in part:
+                atoms = self._atoms(part, led)
+            else:
+                word = part.rstrip(_MARKS)
+                atoms = ((led, word), (False, part[len(word) :]))
             if len(atoms) > 1:
-                spelt[parts[i]] = atoms
+                spelt[part] = atoms
             for kind, atom in atoms:
                 if atom not in known[kind]:
                     wanted[kind][atom] = None
