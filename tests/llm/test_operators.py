@@ -299,7 +299,7 @@ def library():
 
 def test_encoder(library):
     rng = random.Random(1)
-    bits = ["a", "b", "'s", " ", "  ", "\n", "\t", "é", "1", "23", "!", "<|endoftext|>", " ", "中", "🙂", "\x1c", "\r\n", "The", "\0", " ", "​"]
+    bits = ["a", "b", "'s", " ", "  ", "\n", "\t", "é", "1", "23", "!", "<|endoftext|>", " ", "中", "🙂", "\x1c", "\r\n", "The", "?).", ",", "²", "ª", "'", "\0", " ", "​"]
     some = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     encoder = tokens.Encoder.of(TOKENIZER)
     for _ in range(2):
