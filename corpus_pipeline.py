@@ -14,7 +14,7 @@ from quadrille.llm.common import materialize, read_table
 from quadrille.llm.langid import UNKNOWN, fit_languages, predicted
 from quadrille.llm.mixing import mix
 from quadrille.llm.packing import pack
-from quadrille.llm.simhash import group_prints, with_fingerprint
+from quadrille.llm.shingles import near_sets, with_bands
 from quadrille.llm.toxicity import fit_toxicity, toxicity
 
 #: A document is rejected from this toxicity on, or below this certainty of its language.
@@ -38,14 +38,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the smallest by (id, row). Null ids come last."""
-    rows = materialize(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), F.col("text"), "__fp"), "pipeline-prints")
-    # rows of a fingerprint are reduced to their least before groups are formed, and groups to theirs after
+    """Keeps one document of each group of near-copies, those that Jaccard similarities of 0.8 or more between the sets of
+    their five-word shingles connect: the smallest by (id, row). Null ids come last."""
+    rows = materialize(with_bands(docs.withColumn("__row", F.monotonically_increasing_id()), F.col("text"), "__sketch"), "pipeline-sketches")
+    # rows of a set are reduced to their least before groups are formed, and groups to theirs after
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    least = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("least"))
-    groups = group_prints(least.select(F.col("least.__row").alias("id"), "fp"))
-    kept = groups.join(least, "fp").groupBy("component_id").agg(F.min("least").alias("least"))
-    return rows.join(kept.select(F.col("least.__row").alias("__row")), "__row", "left_semi").drop("__row", "__fp")
+    least = materialize(rows.groupBy("__sketch.key").agg(F.min(order).alias("least"), F.first("__sketch.bands").alias("bands")), "pipeline-sets")
+    groups = near_sets(rows.select(F.col("__row").alias("id"), "text"), least.select(F.col("least.__row").alias("id"), "bands"))
+    named = least.join(groups, F.col("least.__row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.__row"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least"))
+    return rows.join(kept.select(F.col("least.__row").alias("__row")), "__row", "left_semi").drop("__row", "__sketch")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,3 +484,37 @@ def test_pipeline(spark, docs, nothing, tmp_path):
     kept = corpus_pipeline.drop_copies(spark, plain, str(tmp_path)).select("doc_id", "text").collect()
     prints = [simhash.fingerprint(r["text"]) for r in kept]
     assert all((a ^ b).bit_count() > 4 for i, a in enumerate(prints) for b in prints[:i])
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """Pairs of similarity 0.8 to 0.95 are found, those below stay, and what stays is what brute force leaves."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = []
+    for k in range(300):
+        w = words(rng, rng.randint(60, 200)).split()
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 30))):
+                v[rng.randrange(len(v))] = "changed" + str(rng.randrange(10**6))
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[0].upper(), "one two", "one  two", "one three"]
+    hot = words(rng, 120).split()
+    texts += [" ".join([*hot[: 60 + i % 60], f"t{i}", *hot[60 + i % 60 :]]) for i in range(80)]
+    rng.shuffle(texts)
+    near = {(a, b): j for a in range(len(texts)) for b in range(a) if (j := jaccard(texts[a], texts[b])) >= 0.8}
+    assert sum(0.8 <= j < 0.95 for j in near.values()) > 100
+    far = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 4 for a, b in near]
+    assert sum(far) > 50
+    least = groups(list(range(len(texts))), lambda a, b: (a, b) in near)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = corpus_pipeline.drop_copies(spark, df, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(least))
+    assert all(r["text"] == texts[r["doc_id"]] for r in got)
