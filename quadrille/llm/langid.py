@@ -42,6 +42,8 @@ BUCKETS = 1 << 13
 PER_LANG, SAMPLE = 400, 4000
 CHUNK = 1 << 20
 UNKNOWN = "und"
+#: Share of a language's n-grams taken to be spread evenly over all buckets: none is rarer than that by more.
+EVEN = 0.01
 
 #: Blank for ASCII other than letters.
 _MAP = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
@@ -133,8 +135,8 @@ class LanguageModel:
     """Classifiers, as columns of one weight matrix: first one for each family against the rest (a single one for two),
     then one for each pair of languages of a family."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, families: list[str], pairs: list[tuple[str, str]]):
-        self.langs, self.weights, self.bias, self.families, self.pairs = langs, weights, bias, families, pairs
+    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, families: list[str], pairs: list[tuple[str, str]], usual: np.ndarray):
+        self.langs, self.weights, self.bias, self.families, self.pairs, self.usual = langs, weights, bias, families, pairs, usual
         self.members = {f: [x for x in langs if _FAMILY.get(x, x) == f] for f in families}
 
     @classmethod
@@ -165,15 +167,36 @@ class LanguageModel:
         for a, b in pairs:
             some = np.flatnonzero((own == a) | (own == b))
             add(some, np.where(own[some] == a, 1.0, -1.0))
-        return cls(langs, np.array(weights).T.reshape(BUCKETS, -1), np.array(bias), families, pairs)
+        # how many times as often as by even chance a language has an n-gram, as a logarithm; 3- and 4-grams apart
+        usual, half = np.zeros((BUCKETS, len(langs))), BUCKETS // 2
+        for lang, at, n in rows:
+            usual[at, langs.index(lang)] += n
+        for part in (usual[:half], usual[half:]):
+            part[:] = np.log((1 - EVEN) * (part + 0.5) / (part.sum(0) + 0.5 * half) * half + EVEN)
+        return cls(langs, np.array(weights).T.reshape(BUCKETS, -1), np.array(bias), families, pairs, usual)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of each text; UNKNOWN and 0 for null and for texts without a letter, or if no language was
         learned."""
-        known = np.asarray(_letters(texts).to_pylist(), bool)
         if not self.langs:
             return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        m = margins(texts, self.weights) + self.bias
+        return self._vote(texts, margins(texts, self.weights) + self.bias)[:2]
+
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, margin, likeness) of each text. margin: the least by which the family, then the language, won, where
+        1 is what training asks for, whatever the number of languages. likeness: the mean over n-grams of how many
+        times as often as by even chance the language that suits best has them, as a logarithm. UNKNOWN, 0 and 0 where
+        predict() answers UNKNOWN."""
+        if not self.langs:
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
+        both = margins(texts, np.hstack((self.weights, self.usual)))
+        n = len(self.bias)
+        lang, _, margin = self._vote(texts, both[:, :n] + self.bias)
+        return lang, margin, np.where(lang == UNKNOWN, 0.0, both[:, n:].max(1))
+
+    def _vote(self, texts: pa.Array, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, margin) of texts with the classifiers' margins m."""
+        known = np.asarray(_letters(texts).to_pylist(), bool)
         sure = 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
         nf = len(self.families)
         if nf == 1:
@@ -185,6 +208,12 @@ class LanguageModel:
         first = {1: 0, 2: 1}.get(nf, nf)
         family = p_family.argmax(1)
         lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        margin = np.full(len(texts), np.inf)
+        if nf == 2:
+            margin = np.abs(m[:, 0])
+        elif nf > 2:
+            two = np.sort(m[:, :nf], 1)[:, -2:]
+            margin = (two[:, 1] - two[:, 0]) / 2
         for f, name in enumerate(self.families):
             rows = np.flatnonzero(family == f)
             members = self.members[name]
@@ -196,10 +225,15 @@ class LanguageModel:
                         votes[:, who] += q > 0.5
                         faith[:, who] *= q
             best = (votes + faith / 2).argmax(1)
+            for k, (a, b) in enumerate(self.pairs):
+                for who, sign in ((a, 1), (b, -1)):
+                    if who in members:
+                        won = rows[best == members.index(who)]
+                        margin[won] = np.minimum(margin[won], sign * m[won, first + k])
             lang[rows] = np.array(members, object)[best]
             score[rows] = p_family[rows, f] * faith[np.arange(len(rows)), best] ** (1 / max(1, len(members) - 1))
-        lang[~known], score[~known] = UNKNOWN, 0.0
-        return lang, np.clip(score, 0.0, 1.0)
+        lang[~known], score[~known], margin[~known] = UNKNOWN, 0.0, 0.0
+        return lang, np.clip(score, 0.0, 1.0), margin
 
 
 def fit_languages(
@@ -244,3 +278,19 @@ def predicted(model: LanguageModel, text: Column) -> Column:
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
     return predict(text.cast("string"))
+
+
+def judged(model: LanguageModel, text: Column) -> Column:
+    """struct(lang, margin, likeness, letters) of a text: judge()'s three, and the share of letters (of any byte beyond
+    ASCII, too) in its bytes other than white space."""
+
+    def share(x: pa.Scalar) -> float:
+        data = np.frombuffer(x.as_py().encode() if x.is_valid else b"", np.uint8)
+        return float(np.count_nonzero(_MAP[data] != 32) / max(1, np.count_nonzero(data > 32)))
+
+    @F.arrow_udf("lang string, margin double, likeness double, letters double")
+    def judge(texts: pa.Array) -> pa.Array:
+        found = [pa.array(x) for x in model.judge(texts)] + [pa.array(map(share, texts), pa.float64())]
+        return pa.StructArray.from_arrays(found, ["lang", "margin", "likeness", "letters"])
+
+    return judge(text.cast("string"))

@@ -518,3 +518,28 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     got = corpus_pipeline.drop_copies(spark, df, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(least))
     assert all(r["text"] == texts[r["doc_id"]] for r in got)
+
+
+def test_pipeline_drops_what_is_no_language(spark, tmp_path):
+    """Garbled, foreign and half-and-half texts and junk with a few letters go; short clean ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    parts = {"en": ["the", "and", "ing", "tion", "ow", "th"], "de": ["ein", "sch", "ung", "der", "ü", "zu"], "fr": ["eau", "ou", "que", "les", "é", "ment"], "es": ["ción", "os", "el", "ado", "ñ", "ar"]}
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    clean = [(prose(lang, rng.randint(30, 120)), lang) for lang in sorted(parts) * 100] + [(prose(lang, 4), lang) for lang in sorted(parts) * 10]
+    bad = [words(rng, 40, "abcdefghijklmnopqrstuvwxyz") for _ in range(10)]
+    bad += ["Все люди рождаются свободными и равными в своем достоинстве", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van", "人人生而自由,在尊严和权利上一律平等"]
+    bad += ["@@## 12345678 and 5567 %% x 99 $$$ 4711 ###", "12345 67890", "", None]
+    rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate(clean)] + [(1000 + i, t, None, "s", 0) for i, t in enumerate(bad)]
+    halves = [prose(a, 60) + " " + prose(b, 60) for a, b in (("en", "fr"), ("de", "es"), ("en", "de"), ("fr", "es")) for _ in range(10)]
+    rows += [(2000 + i, t, None, "s", 0) for i, t in enumerate(halves)]
+    out = corpus_pipeline.keep_languages(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    kept = {r["doc_id"]: r["lang"] for r in out}
+    assert len(out) == len(kept)
+    assert [kept.get(i) for i in range(len(clean))] == [lang for _, lang in clean]
+    assert not [bad[i - 1000] for i in kept if 1000 <= i < 2000]
+    assert sum(i >= 2000 for i in kept) <= len(halves) // 4
