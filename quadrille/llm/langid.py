@@ -282,7 +282,8 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
 def judged(model: LanguageModel, text: Column) -> Column:
     """struct(lang, margin, likeness, letters) of a text: judge()'s three, and the share of letters (of any byte beyond
-    ASCII, too) in its bytes other than white space."""
+    ASCII, too) in its bytes other than white space. Stands as not deterministic, as a filter on its fields would
+    otherwise have Spark work it out twice, by twice the workers."""
 
     def share(x: pa.Scalar) -> float:
         data = np.frombuffer(x.as_py().encode() if x.is_valid else b"", np.uint8)
@@ -293,4 +294,4 @@ def judged(model: LanguageModel, text: Column) -> Column:
         found = [pa.array(x) for x in model.judge(texts)] + [pa.array(map(share, texts), pa.float64())]
         return pa.StructArray.from_arrays(found, ["lang", "margin", "likeness", "letters"])
 
-    return judge(text.cast("string"))
+    return judge.asNondeterministic()(text.cast("string"))
