@@ -53,7 +53,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_sets(rows.select(F.col("__row").alias("id"), "text"), least.select(F.col("least.__row").alias("id"), "bands"))
     named = least.join(groups, F.col("least.__row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.__row"))
     kept = named.groupBy("root").agg(F.min("least").alias("least"))
-    return rows.join(kept.select(F.col("least.__row").alias("__row")), "__row", "left_semi").drop("__row", "__sketch")
+    # what goes is a smaller table than what stays, and one of known size
+    gone = rows.select("__row").join(kept.select(F.col("least.__row").alias("__row")), "__row", "left_anti")
+    return rows.join(materialize(gone, "pipeline-gone"), "__row", "left_anti").drop("__row", "__sketch")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,7 +144,8 @@ def near_sets(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     keys = sketches.select("id", F.explode("bands").alias("b"))
     low = keys.groupBy("b").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = keys.join(low, "b").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = components(materialize(shared, "candidates"))
+    # as a table of known size, so that Spark need not move the texts where these are few
+    clusters = materialize(components(materialize(shared, "candidates")), "clusters")
     dealt = rows.select("id", "text").join(clusters, F.col("id") == F.col("node")).select("root", "id", F.col("text").cast("string").alias("text"))
     links = dealt.repartition("root").sortWithinPartitions("root").mapInArrow(_verified, "a long, b long")
     return components(materialize(links, "near-sets"))
