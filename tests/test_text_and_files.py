@@ -186,3 +186,20 @@ def test_stream(spark, tmp_path):
         fragments(stream, [X.BlankToFragment()], S.BySubject())
     with pytest.raises(ValueError, match="must see all quads"):
         fragments(stream, [], S.ByVoID(["x"]))
+
+
+def test_stream_refuses_blank_nodes(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from quadrille.operators import strategies as S
+    from quadrille.streaming.stream import fragments, read_lines, write_table
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.nt").write_text('<http://e/1> <http://e/p> "x" .\n<http://e/1> <http://e/p> _:b .\n_:b <http://e/p> <http://e/2> .\n')
+    for name, strategy in (("s", S.BySubject()), ("o", S.ByObject())):
+        stream = fragments(read_lines(spark, str(tmp_path / "in")), [], strategy, blank="error")
+        query = write_table(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"), once=True)
+        with pytest.raises(StreamingQueryException, match="owners of a blank node"):
+            query.awaitTermination(60)
+    with pytest.raises(ValueError, match="drop or error"):
+        fragments(stream, [], S.BySubject(), blank="x")
