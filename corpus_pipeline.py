@@ -59,9 +59,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it whole, and once more if it takes half of it or more besides."""
+    """Each document as many times as the mix takes it whole, and once more if it takes half of it or more besides. A
+    document without words is not taken."""
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-mix")
-    took = mix(rows, id_col="__row").select(F.col("id").alias("__row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__n")).where("__n > 0")
+    took = mix(rows, id_col="__row").select(F.col("id").alias("__row"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__n")).where("__n > 0")
     return rows.join(took, "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__row", "__n")
 
 
@@ -85,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Models, tokenizers and XXH64 are beyond SQL: tests hold each stage against a brute-force version.
+#: Models, tokenizers and XXH64 are beyond SQL: tests hold near-duplicates and mixing against brute force, toxicity against
+#: its model's scores row by row, language against planted documents, and packing as op10 does.
 ORACLE_SQL = None

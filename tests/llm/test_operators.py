@@ -543,3 +543,59 @@ def test_pipeline_drops_what_is_no_language(spark, tmp_path):
     assert [kept.get(i) for i in range(len(clean))] == [lang for _, lang in clean]
     assert not [bad[i - 1000] for i in kept if 1000 <= i < 2000]
     assert sum(i >= 2000 for i in kept) <= len(halves) // 4
+
+
+def test_pipeline_drops_toxic(spark, tmp_path):
+    """Exactly the rows whose text the model scores below TOXIC, and null texts, stay."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    toxic = [i % 4 == 0 for i in range(400)]
+    texts = []
+    for bad in toxic:
+        w = words(rng, rng.randint(20, 80), "aehinorst").split()
+        for _ in range(3 if bad else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiotic", "wretched", "scumbag"]))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(900, None, "en", "s", 0), (5, texts[5], "en", "s", 0)], SCHEMA)
+    spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(toxic) if i < 300], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = Counter(map(tuple, corpus_pipeline.keep_clean(spark, df, str(tmp_path)).collect()))
+    model = toxicity.fit_toxicity(df, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    rows = [tuple(r) for r in df.collect()]
+    score = [0 if r[1] is None else model.score(pa.array([r[1]]))[0] for r in rows]
+    assert got == Counter(r for r, x in zip(rows, score, strict=True) if x < 0.5)
+    kept = {r[0] for r in got}
+    assert sum((i in kept) == (not toxic[i]) for i in range(400)) >= 390
+
+
+def test_pipeline_mixes(spark, tmp_path):
+    """Copies of each document, with one source far larger than the rest."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = [(i, words(rng, rng.randint(0, 30)), "en", "hot" if i % 10 else rng.choice(["a", "b", None]), 0) for i in range(300)]
+    size = {r[0]: len(r[1].split()) for r in rows}
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in names}
+    share, open_, left = {}, set(names), sum(total.values())
+    while open_:
+        weight = {s: names.index(s) % 3 + 1 for s in open_}
+        given = {s: left * weight[s] / sum(weight.values()) for s in open_}
+        full = {s for s in open_ if given[s] >= 3 * total[s]}
+        if not full:
+            share |= given
+            break
+        share |= {s: 3 * total[s] for s in full}
+        left, open_ = left - sum(3 * total[s] for s in full), open_ - full
+    expected = Counter()
+    for s in names:
+        passes, rest = divmod(min(3 * total[s], round(share[s])), total[s])
+        own = [r for r in rows if r[3] == s]
+        for r in sorted(own, key=lambda r: int(hashlib.md5(f"0:{r[0]}".encode()).hexdigest()[:15], 16)):
+            n = size[r[0]]
+            extra = min(n, rest)
+            rest -= extra
+            if n and (copies := int((passes * n + extra) / n + 0.5)):
+                expected[r] += copies
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert Counter(map(tuple, corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect())) == expected
