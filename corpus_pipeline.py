@@ -19,9 +19,10 @@ from quadrille.llm.toxicity import fit_toxicity, toxicity
 
 #: A document is rejected from this toxicity on.
 TOXIC = 0.5
-#: And below any of these (judged()). Of 8,400 labelled rows that were not learned from, all are above LIKE (the least had
-#: -1.04; garbled words and other languages have less than -1.7), and 3 in 10,000 are below MARGIN, as are 8 in 10 texts
-#: that are half one language and half another. No row of sf0.1 has a share of letters below LETTERS (the least: 0.29).
+#: And below any of these (judged()). Of 8,400 labelled rows of sf0.1 that were not learned from, all are above LIKE (the
+#: least had -1.04; random letters in three words or more had at most -1.85, six other languages at most -1.73). Of 4,000, one
+#: is below MARGIN, as are 3 in 4 texts, or more, of which half is one language and half another. The least share of letters
+#: there, counted by characters, is 0.29.
 MARGIN, LIKE, LETTERS = 0.15, -1.5, 0.25
 
 
