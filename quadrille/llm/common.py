@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to Python.
+BATCH = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +44,38 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """spark, set to hand Python no more than BATCH bytes of rows at a time (a longer row comes alone), where its setting is higher:
+    the default of 64 MB takes several times that of each worker, and of the executor outside its heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).lower())
+    if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed: workers live on from task to task, and from query to query, and
+    what their allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def thrifty(each):
+    """An iterator function's batches, with give_back() at the end of a task."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n; null where the id is null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, spread
+from .common import bounded, materialize, spread, thrifty
 from .repair import encoded
 from .tokens import Encoder
 
@@ -193,13 +193,14 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         raise ValueError("window: 2 tokens at least")
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType
     arrow = to_arrow_type(kind)
-    width = "<u2" if max(end, Encoder.of(tokenizer).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
+    width = "<u2" if max(end, Encoder.of(tokenizer).size) <= 1 << 16 else "<u4"
     docs = materialize(
         rows.mapInArrow(
-            lambda b: _read(b, tokenizer, end, window, width, arrow),
+            thrifty(lambda b: _read(b, tokenizer, end, window, width, arrow)),
             f"id {kind.simpleString()}, tokens long, full long, rest int, crcs array<long>, tail binary, part int, row long",
         ),
         "rests",
@@ -219,5 +220,5 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ranked = ranked.select("id", "tokens", "full", "rest", "crcs", "tail", (F.col("n0") + F.col("k") - 1).alias("rank"), (F.col("f0") + F.col("f")).alias("first"))
     plan = Plan(histogram, window, fulls)
     return ranked.mapInArrow(
-        lambda b: _pieces(b, plan, width), f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        thrifty(lambda b: _pieces(b, plan, width)), f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

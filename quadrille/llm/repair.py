@@ -1,8 +1,9 @@
 """Token ids in grammar-compressed binary blocks, by Re-Pair.
 
 Documents, in ascending order of their ids, are encoded and cut into blocks of bounded size. In each block the most
-frequent pairs of adjacent symbols are replaced by nonterminals, again and again, until that no longer shortens the
-block noticeably; a round replaces many pairs at once, without overlaps. The block holds the rules, the length that
+frequent pairs of adjacent symbols are replaced by nonterminals, again and again, until no pair occurs as often as its
+rule needs to pay for itself. Counts are exact; a pass takes all pairs that occur at least a fourth as often as the most
+frequent one, and where two of them overlap, the more frequent one has the place. The block holds the rules, the length that
 each expands to, and where each document's symbols begin, so that any stretch of any document is decoded from the
 symbols that cover it alone.
 
@@ -24,19 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, runs, spread, text_buffers
+from .common import bounded, materialize, runs, spread, text_buffers, thrifty
 from .tokens import Encoder
 
 END = 2
-#: Ids of a block (a longer document has a block of its own), rounds at most, pairs that a round replaces, least
-#: occurrences of a pair, least share by which a round must shorten the block.
-BLOCK, ROUNDS, PAIRS, LEAST, GAIN = 1 << 20, 16, 1024, 8, 0.01
+#: Ids of a block (a longer document has a block of its own); least occurrences of a pair that is replaced: a rule takes 12
+#: bytes, each replacement saves 4 at most; how much rarer than the most frequent pair those are that a pass takes with it;
+#: places are this many times those that a pass has changed where these wait for the next pass over all.
+BLOCK, LEAST, FACTOR, FEW = 1 << 20, 4, 4, 100
 _MAGIC = b"QRP1"
-_BUCKETS = 18
+_NONE = np.iinfo(np.int32).max
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, end: int = END) -> bytes:
-    """ids of documents one after another, each with the id `end` last; lengths: ids of each. Returns a block."""
+def compress(ids: np.ndarray, lengths: np.ndarray, end: int = END, least: int = LEAST) -> bytes:
+    """ids of documents one after another, each with the id `end` last; lengths: ids of each. Returns a block, in which no
+    pair of symbols occurs `least` times (2 or more) within documents without overlaps."""
     if lengths.sum() != len(ids) or (len(lengths) and (lengths.min() < 1 or (ids[np.cumsum(lengths) - 1] != end).any())):
         raise ValueError("each document must end with the end id")
     present = np.zeros(int(ids.max(initial=0)) + 1, bool)
@@ -46,17 +49,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end: int = END) -> bytes:
     # symbol 0 ends a document and is part of no pair; terminal i is symbol i + 1
     seq = (number[ids] + 1).astype(np.uint32)
     seq[np.cumsum(lengths) - 1] = 0
-    rules: list[np.ndarray] = []
-    n = len(terminals) + 1
-    for _ in range(ROUNDS):
-        before = len(seq)
-        pairs, seq = _round(seq, n)
-        if not len(pairs):
-            break
-        rules.append(pairs)
-        n += len(pairs)
-        if before - len(seq) < GAIN * before:
-            break
+    rules, seq = grammar_of(seq, len(terminals) + 1, max(2, least))
+    n = len(terminals) + 1 + sum(map(len, rules))
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     size = np.ones(n, np.uint64)
     at = len(terminals) + 1
@@ -71,50 +65,100 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end: int = END) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def _round(seq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that become symbols n, n + 1, .., and the sequence with them in place."""
-    a, b = seq[:-1], seq[1:]
-    bucket = a * np.uint32(0x9E3779B1)
-    bucket += b
-    bucket *= np.uint32(0x85EBCA6B)
-    bucket >>= np.uint32(32 - _BUCKETS)
-    bucket = bucket.astype(np.int64)
-    # pairs with the end of a document have a bucket that is never chosen
-    ends = np.flatnonzero(seq == 0)
-    bucket[ends[ends < len(bucket)]] = 1 << _BUCKETS
-    bucket[ends[ends > 0] - 1] = 1 << _BUCKETS
-    counts = np.bincount(bucket, minlength=(1 << _BUCKETS) + 1)[:-1]
-    top = np.argpartition(counts, -PAIRS)[-PAIRS:]
-    top = top[counts[top] >= LEAST]
-    chosen = np.zeros((1 << _BUCKETS) + 1, bool)
-    chosen[top] = True
-    at = np.flatnonzero(chosen[bucket])
-    if not len(at):
-        return np.zeros((0, 2), np.uint32), seq
-    bucket = bucket[at]
-    key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-    # of pairs that share a bucket the one that occurs last stands for it
-    stands = np.zeros(1 << _BUCKETS, np.uint64)
-    stands[bucket] = key
-    same = stands[bucket] == key
-    at, bucket = at[same], bucket[same]
-    # of matches that overlap in a row, every other one
-    first = np.concatenate(([True], at[1:] != at[:-1] + 1))
-    place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    even = place % 2 == 0
-    at, bucket = at[even], bucket[even]
-    used = np.bincount(bucket, minlength=1 << _BUCKETS)
-    kept = np.flatnonzero(used >= LEAST // 2)
-    symbol = np.zeros(1 << _BUCKETS, np.int64)
+def _sorted(a: np.ndarray, b: np.ndarray, at: np.ndarray, out: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """Pairs as numbers a * 2^width + b, sorted, without those in `out` (places in at); then either their places and None, or numbers with
+    the places in so many low bits. a and b are less than n, at ascends."""
+    bits, width = int(at[-1]).bit_length() if len(at) else 0, n.bit_length()
+    key = a.astype(np.uint64)
+    key <<= np.uint64(width)
+    key |= b
+    if bits + 2 * width >= 64:
+        key[out] = np.iinfo(np.uint64).max
+        order = np.argsort(key, kind="stable")[: len(key) - len(out)]
+        return key[order], at[order], None
+    # the place goes along in the bits below, as sorting numbers is many times faster than sorting their order
+    key <<= np.uint64(bits)
+    key |= at.view(np.uint64)
+    key[out] = np.iinfo(np.uint64).max
+    key.sort()
+    key = key[: len(key) - len(out)]
+    return key >> np.uint64(bits), key, np.uint64(bits)
+
+
+def _replaced(seq: np.ndarray, n: int, at: np.ndarray | None, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+    """One pass over the pairs that begin at the places `at`: (rules of the symbols n, n + 1, .., the sequence with them in
+    place, places of pairs that were taken or are new, floor), or None if no pair occurs `floor` times. at None: all pairs, and the
+    floor is lowered to a part of what the most frequent pair has, but not below `least`."""
+    everywhere = at is None
+    if at is None:
+        at, a, b = np.arange(max(0, len(seq) - 1)), seq[:-1], seq[1:]
+    else:
+        a, b = seq[at], seq[at + 1]
+    # of a run of equal symbols every other pair counts; none counts that the end of a document is part of
+    same = np.flatnonzero(a == b)
+    out = (a == 0) | (b == 0)
+    if len(same):
+        first = np.concatenate(([True], at[same[1:]] != at[same[:-1]] + 1))
+        k = np.arange(len(same))
+        out[same[(k - np.maximum.accumulate(np.where(first, k, 0))) % 2 == 1]] = True
+    key, place, bits = _sorted(a, b, at, np.flatnonzero(out), n)
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(key)))
+    most = int(count.max(initial=0))
+    floor = max(least, min(floor, -(-most // FACTOR))) if everywhere else floor
+    if most < floor:
+        return None
+    pick = np.flatnonzero(count >= floor)
+    pick = pick[np.argsort(-count[pick], kind="stable")]
+    often = count[pick]
+    taken = place[spread(begin[pick], often)]
+    if bits is not None:
+        taken = (taken & np.uint64((1 << int(bits)) - 1)).view(np.int64)
+    rank = np.repeat(np.arange(len(pick), dtype=np.int32), often)
+    # a pair has its place unless one that overlaps it is more frequent
+    there = np.full(len(seq) + 2, _NONE, np.int32)
+    there[taken + 1] = rank
+    wins = (rank < there[taken]) & (rank < there[taken + 2])
+    pos, rank = taken[wins], rank[wins]
+    kept = np.flatnonzero(np.bincount(rank, minlength=len(pick)) >= least)
+    symbol = np.zeros(len(pick), np.uint32)
     symbol[kept] = n + np.arange(len(kept))
-    often = used[bucket] >= LEAST // 2
-    at, bucket = at[often], bucket[often]
-    out = seq.copy()
-    out[at] = symbol[bucket]
+    new = symbol[rank]
+    pos, new = pos[new > 0], new[new > 0]
     keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    pairs = np.stack((stands[kept] >> np.uint64(32), stands[kept] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)
-    return pairs, out[keep]
+    keep[pos + 1] = False
+    seq = seq.copy()
+    seq[pos] = new
+    live = np.zeros(len(seq), bool)
+    live[taken] = True
+    live[pos] = True
+    live[np.maximum(pos - 1, 0)] = True
+    # a pair in front of a symbol that has gone begins where the new symbol does; that in front of a pair replaced just before
+    # begins at that one's symbol
+    live[np.maximum(pos - 2, 0)] |= ~keep[np.maximum(pos - 1, 0)]
+    seq, live = seq[keep], live[keep]
+    live[-1:] = False
+    pair = key[begin[pick[kept]]]
+    width = np.uint64(n.bit_length())
+    rules = np.stack((pair >> width, pair & np.uint64((1 << int(width)) - 1)), 1).astype(np.uint32)
+    return rules, seq, np.flatnonzero(live), floor
+
+
+def grammar_of(seq: np.ndarray, n: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Symbols below n, 0 in no pair: the rules, pass by pass, and the sequence that is left, in which no pair occurs `least`
+    times. After a pass over all pairs, those that it took and those that its symbols make are looked at again while any of
+    them is as frequent (all others have only become rarer); where these are few, the next pass over all has them, too."""
+    rules: list[np.ndarray] = []
+    floor = len(seq)
+    while (done := _replaced(seq, n, None, least, floor // FACTOR)) is not None:
+        while done is not None:
+            new, seq, live, floor = done
+            rules.append(new)
+            n += len(new)
+            if floor > least and len(live) < len(seq) // FEW:
+                break
+            done = _replaced(seq, n, live, least, floor)
+    return rules, seq
 
 
 class Block:
@@ -168,7 +212,7 @@ class Block:
         return self._expand(symbols[i:j])[skip : skip + stop - start]
 
 
-def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, ids with the end id after each text, how many each has), by runs of about `most` bytes."""
     texts = texts.fill_null("")
     at, _ = text_buffers(texts)
@@ -204,17 +248,19 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, kind: pa.DataT
 def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, parts: int | None = None) -> DataFrame:
     """Writes df's texts as a table of blocks (part, block, n_ids, docs, data) in the shared folder and returns it:
     documents stand in ascending order of (part, block, place in docs), null ids first, equal ids in the order of their
-    texts. Null is an empty text, which has the end id alone. No rows, no blocks. parts: tasks that encode (by default
-    as many as read df, and at least spark.sql.shuffle.partitions)."""
-    spark = df.sparkSession
+    texts' first 64 characters, then of a hash of them (and such rows may be several tasks'). Null is an empty text, which has the end id
+    alone. No rows, no blocks. parts: tasks that encode (by default as many as read df, and at least spark.sql.shuffle.partitions)."""
+    spark = bounded(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = parts or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
-    dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    blocks = dealt.mapInArrow(lambda b: _pack(b, tokenizer, end, arrow), f"part int, block int, n_ids long, docs array<{kind.simpleString()}>, data binary")
+    # ids that many rows share, null among them, are told apart by text, and equal rows by where they were read
+    told = rows.withColumns({"begin": F.substring("text", 1, 64), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = told.repartitionByRange(parts, "id", "begin", "tie", "row").sortWithinPartitions("id", "begin", "tie").select("id", "text")
+    blocks = dealt.mapInArrow(thrifty(lambda b: _pack(b, tokenizer, end, arrow)), f"part int, block int, n_ids long, docs array<{kind.simpleString()}>, data binary")
     return materialize(blocks, "tokens", compression="none")
 
 
@@ -237,5 +283,5 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     whole = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = blocks.select("part", "block", before.alias("inner")).join(whole, "part").select("part", "block", (F.col("base") + F.col("inner")).alias("base"))
-    docs = blocks.select("part", "block", "docs", "data").mapInArrow(read, f"part int, block int, id {kind.simpleString()}, own long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("part", "block", "docs", "data").mapInArrow(thrifty(read), f"part int, block int, id {kind.simpleString()}, own long, n_tokens long, ids_crc32 long")
     return docs.join(bases, ["part", "block"]).select("id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "part", "block")

@@ -1,41 +1,54 @@
 """Token ids of whole texts, by the tokenizers library, with each stretch of text encoded once.
 
-Byte-level BPE splits a text before it merges, and a single space in front of a word always begins a new piece. So a
-text without longer runs of white space is the concatenation of its space-led parts, which repeat a great deal; each
-distinct part goes to the library once, and a text's ids are gathered from what it gave. For the same reason a part is
-the concatenation of its word, the marks behind it and, after a single line feed, the next word. Texts for which that reasoning
-does not hold (three blanks running, two at the end, a special token's string) go to the library whole.
+Byte-level BPE splits a text before it merges, and some places always lie between two pieces of it: in front of a single
+blank, around a line feed, and between a letter or digit and the mark behind it. So a text without longer runs of white space
+is the concatenation of the parts that these places cut it into. Parts repeat a great deal; each distinct one goes to the
+library once, and a text's ids are gathered from what it gave. Parts that are one word of letters (a piece of their own) skip the
+library's splitting, and go to its merging as the characters that stand for their bytes. Texts for which that reasoning
+does not hold (three blanks running, two at the end, a special token's string) go to the library whole, and so does every
+text if the tokenizer's file asks for any other normalization or splitting.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import spread
+from .common import spread, text_buffers
 
 #: White space as any of the library's patterns may see it, and what may stand in its place.
 _BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _ODD = _BLANK + "{3}|" + _BLANK + r"{2}\z"
-_ANY = re.compile(r"[\s\u0085\u180e\u200b-\u200d\u2060\ufeff]")
-#: A letter or digit and the marks behind it never share a piece; nor does a single line feed with what stands around it.
-_ENDS, _MARKS = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]", '.,;:!?)"'
-_COMPOUND = rf"\n|{_ENDS}[{_MARKS}]+\z"
-_END = re.compile(_ENDS)
+#: One word of letters with or without the space in front.
+_WORD = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 #: Distinct parts, and their ids, that a worker keeps; beyond that it begins anew.
 PARTS, IDS = 300_000, 2_000_000
+#: Words that the library gets as one text.
+_TOGETHER = 2000
 
+_MARK = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+#: Second bytes of the letters from U+00C0 to U+00FF; all but the signs of multiplication and division are.
+_LATIN = np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])
 
-class _Numbers(dict):
-    """Numbers of parts; -1 for one that is not there."""
 
-    def __missing__(self, key: str) -> int:
-        return -1
+def _characters() -> np.ndarray:
+    """The code points that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on;
+    a line feed stays, to part words."""
+    shown = [c for c in range(256) if 33 <= c < 127 or 161 <= c and c != 173]
+    table = np.arange(256, dtype="<u4")
+    hidden = np.setdiff1d(np.arange(256), shown)
+    table[hidden] = 256 + np.arange(len(hidden))
+    table[10] = 10
+    return table
+
+
+_CHARACTER = _characters()
 
 
 class Encoder:
@@ -46,14 +59,28 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Which ids begin with a space.
-        self.spaced = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self._clear()
+        self.size = self.tokenizer.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        #: Whether the file asks for the splitting that parts rely on, and nothing else.
+        self.by_parts = (
+            not any(told.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
+            and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+        )
+        if self.by_parts:
+            #: Which ids begin with a space.
+            self.spaced = np.zeros(1 + max(model["vocab"].values()), bool)
+            self.spaced[[i for t, i in model["vocab"].items() if t.startswith("\u0120")]] = True
+            self.merger = Tokenizer(self.tokenizer.model)
+            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.clear()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -61,126 +88,104 @@ class Encoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def _clear(self) -> None:
-        #: Numbers of parts: those that follow a space, without it, and those that begin a text.
-        self.led, self.heads = _Numbers(), _Numbers()
-        self.n, self.used = 0, 0
-        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+    @classmethod
+    def clear_all(cls) -> None:
+        for x in cls._own.values():
+            x.clear()
+
+    def clear(self) -> None:
+        """Forgets all parts."""
+        self.names = pa.array([], pa.large_string())
+        self.starts, self.lengths, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
 
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As _library() of the parts, each with a space in front. Those without a blank are one text for the library: the
-        ids that begin with a space tell where each begins."""
-        array = pa.array(parts, pa.large_string())
-        others = np.flatnonzero(pc.or_(pc.match_substring_regex(array, _BLANK), pc.equal(array, "")).to_numpy(zero_copy_only=False))
-        apart = set(others.tolist())
-        joined = [p for i, p in enumerate(parts) if i not in apart] if apart else parts
-        if not joined:
-            return self._library([" " + p for p in parts])
-        ids, _ = self._library([" " + " ".join(joined)])
-        begin = np.flatnonzero(self.spaced[ids])
-        if len(begin) != len(joined) or begin[0] != 0:
-            return self._library([" " + p for p in parts])
-        n = np.diff(np.concatenate((begin, [len(ids)])))
-        if not apart:
-            return ids, n
-        more, m = self._library([" " + parts[i] for i in others.tolist()])
-        size, mask = np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
-        mask[others] = False
-        size[mask], size[others] = n, m
-        out, starts = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
-        out[spread(starts[mask], n)] = ids
-        out[spread(starts[others], m)] = more
-        return out, size
-
-    def _store(self, names: list[str], known: _Numbers, ids: np.ndarray, n: np.ndarray) -> None:
-        first, size = self.n, self.used + len(ids)
-        if first + len(names) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(names), np.int64))) for x in (self.starts, self.lengths))
-        if size > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(size, np.uint32)))
-        self.ids[self.used : size] = ids
-        self.lengths[first : first + len(names)] = n
-        self.starts[first : first + len(names)] = self.used + np.cumsum(n) - n
-        known.update(zip(names, range(first, first + len(names)), strict=True))
-        self.n, self.used = first + len(names), size
-
-    def _atoms(self, part: str, led: bool) -> list[tuple[bool, str]]:
-        """(whether it follows a space, what) of the strings whose ids, one after another, are the part's."""
-        lines = part.split("\n")
-        if len(lines) > 1 and not all(x and not _ANY.search(x) for x in lines):
-            return [(led, part)]
-        out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append((False, "\n"))
-            word = line.rstrip(_MARKS)
-            marked = len(word) < len(line) and _END.match(word[-1:])
-            out += [(led and not i, word), (False, line[len(word) :])] if marked else [(led and not i, line)]
-        return out
-
-    def _learn(self, parts: list[str], compound: np.ndarray, led: bool) -> None:
-        """Makes distinct parts known: the library has each that is not compound, and each atom of those that are."""
-        known = {True: self.led, False: self.heads}
-        wanted: dict[bool, dict[str, None]] = {not led: {}, led: dict.fromkeys([parts[i] for i in np.flatnonzero(~compound).tolist()])}
-        spelt = {}
-        for i in np.flatnonzero(compound).tolist():
-            part = parts[i]
-            if "\n" in part:
-                atoms = self._atoms(part, led)
-            else:
-                word = part.rstrip(_MARKS)
-                atoms = ((led, word), (False, part[len(word) :]))
-            if len(atoms) > 1:
-                spelt[part] = atoms
-            for kind, atom in atoms:
-                if atom not in known[kind]:
-                    wanted[kind][atom] = None
-        for kind, some in wanted.items():
-            names = list(some)
-            for i in range(0, len(names), 10_000):
-                few = names[i : i + 10_000]
-                self._store(few, known[kind], *(self._parts(few) if kind else self._library(few)))
-        # a part may have become known as an atom of another only if it is no compound itself
-        if spelt:
-            which = np.array([known[kind][atom] for atoms in spelt.values() for kind, atom in atoms], np.int64)
-            lengths, many = self.lengths[which], np.fromiter(map(len, spelt.values()), np.int64, len(spelt))
-            run = np.concatenate(([0], np.cumsum(lengths)))
-            ends = np.cumsum(many)
-            self._store(list(spelt), known[led], self.ids[spread(self.starts[which], lengths)], run[ends] - run[ends - many])
-
-    def _numbers(self, parts: pa.Array, led: bool) -> np.ndarray:
-        found = parts.dictionary_encode()
-        names, known = found.dictionary.to_numpy(zero_copy_only=False).tolist(), self.led if led else self.heads
-        out = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-        if len(unknown := np.flatnonzero(out < 0)):
-            new = [names[i] for i in unknown.tolist()]
-            self._learn(new, pc.match_substring_regex(found.dictionary.take(pa.array(unknown)), _COMPOUND).to_numpy(zero_copy_only=False), led)
-            out[unknown] = [known[p] for p in new]
-        return out[found.indices.to_numpy(zero_copy_only=False)]
+    def _words(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """As _library() of words of letters, all or none with a space in front: their bytes' characters, many words to a
+        text, parted by line feeds. Where a word's ids begin, one says that stands for a space, or the library."""
+        at, data = text_buffers(words)
+        lengths = np.diff(at)
+        joined = np.full(int(lengths.sum()) + len(words), 10, np.uint8)
+        ends = np.cumsum(lengths + 1)
+        joined[spread(ends - lengths - 1, lengths)] = data[at[0] : at[-1]]
+        cuts = [0, *ends[_TOGETHER - 1 : -1 : _TOGETHER].tolist(), len(joined)]
+        texts = [_CHARACTER[joined[i:j]].tobytes().decode("utf-32-le") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        if spaced:
+            got = [x.ids for x in self.merger.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+            return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+        got = [(x.ids, x.word_ids) for x in self.merger.encode_batch(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, np.uint32) for x, _ in got])
+        return ids, np.concatenate([np.bincount(np.array(x, np.int64)) for _, x in got])
+
+    def _learn(self, new: pa.Array) -> None:
+        """Makes distinct parts known."""
+        word, spaced = pc.match_substring_regex(new, _WORD), pc.starts_with(new, " ")
+        for which, take in (
+            (pc.and_(word, spaced), lambda x: self._words(x, True)),
+            (pc.and_not(word, spaced), lambda x: self._words(x, False)),
+            (pc.invert(word), lambda x: self._library(x.to_pylist())),
+        ):
+            some = new.filter(which)
+            if not len(some):
+                continue
+            ids, n = take(some)
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(ids), self.used), np.uint32)))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.names = pa.concat_arrays([self.names, some])
+            self.starts = np.concatenate((self.starts, self.used + np.cumsum(n) - n))
+            self.lengths = np.concatenate((self.lengths, n))
+            self.used += len(ids)
+
+    def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, one after another, and how many each has."""
+        at, data = text_buffers(texts)
+        data = data[at[0] : at[-1]]
+        at = at - at[0]
+        begin = (data == 32) | (data == 10)
+        begin[1:] |= data[:-1] == 10
+        letter = _ALNUM[data]
+        letter[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
+        begin[1:] |= _MARK[data[1:]] & letter[:-1]
+        begin[at[:-1][np.diff(at) > 0]] = True
+        places = np.flatnonzero(begin)
+        parts = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.concatenate((places, [len(data)]))), pa.py_buffer(data))
+        return parts, np.diff(np.searchsorted(places, at))
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.n > PARTS or self.used > IDS:
-            self._clear()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.by_parts:
+            return self._library(texts.to_pylist())
+        if len(self.names) > PARTS or self.used > IDS:
+            self.clear()
         odd = pc.match_substring_regex(texts, _ODD)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         apart = odd.to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(texts.filter(pc.invert(odd)) if apart.any() else texts, " ")
-        parts = split.flatten()
-        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))))
-        begin = np.zeros(len(parts), bool)
-        begin[edges[:-1]] = True
-        which = np.empty(len(parts), np.int64)
-        which[begin] = self._numbers(parts.filter(pa.array(begin)), False)
-        which[~begin] = self._numbers(parts.filter(pa.array(~begin)), True)
+        parts, many = self._parts(texts.filter(pc.invert(odd)) if apart.any() else texts)
+        found = parts.dictionary_encode()
+        number = pc.index_in(found.dictionary, value_set=self.names)
+        known = len(self.names)
+        if number.null_count:
+            unknown = number.is_null()
+            self._learn(found.dictionary.filter(unknown))
+            # those just learned stand in another order than they were asked for
+            number = number.to_numpy(zero_copy_only=False)
+            late = pc.index_in(found.dictionary.filter(unknown), value_set=self.names.slice(known))
+            number[unknown.to_numpy(zero_copy_only=False)] = known + late.to_numpy()
+            number = number.astype(np.int64)
+        else:
+            number = number.to_numpy().astype(np.int64)
+        which = number[found.indices.to_numpy()] if len(parts) else np.zeros(0, np.int64)
         lengths = self.lengths[which]
         run = np.concatenate(([0], np.cumsum(lengths)))
+        edges = np.concatenate(([0], np.cumsum(many)))
         n = run[edges[1:]] - run[edges[:-1]]
         ids = self.ids[spread(self.starts[which], lengths)]
         if not apart.any():

@@ -599,3 +599,106 @@ def test_pipeline_mixes(spark, tmp_path):
                 expected[r] += copies
     df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     assert Counter(map(tuple, corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect())) == expected
+
+
+# ---- 7, beyond round trips
+
+
+def textbook(docs_, least):
+    """(rules, symbols left) of Re-Pair, one most frequent pair at a time, on lists of ids."""
+    docs_, rules = [list(d) for d in docs_], 0
+    while True:
+        counts: Counter = Counter()
+        for d in docs_:
+            last = {}
+            for i, pair in enumerate(zip(d, d[1:], strict=False)):
+                if pair[0] != pair[1] or last.get(pair) != i - 1:
+                    counts[pair] += 1
+                    last[pair] = i
+        if not counts or max(counts.values()) < least:
+            return rules, sum(map(len, docs_))
+        best = max(sorted(counts), key=counts.get)
+        for k, d in enumerate(docs_):
+            out, i = [], 0
+            while i < len(d):
+                out.append(-1 - rules if tuple(d[i : i + 2]) == best else d[i])
+                i += 2 if tuple(d[i : i + 2]) == best else 1
+            docs_[k] = out
+        rules += 1
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_blocks_are_compressed_to_the_end(least):
+    """No pair is left that occurs `least` times, and the grammar is about as small as the textbook's."""
+    rng = np.random.default_rng(5)
+    for letters in (2, 4, 9, 40):
+        docs_ = [rng.integers(3, 3 + letters, rng.integers(0, 250)).tolist() for _ in range(25)]
+        docs_ += docs_[:4] + [docs_[5] * 3, [3] * 100, []]
+        flat = np.array([x for d in docs_ for x in [*d, 2]], np.uint32)
+        block = repair.Block(repair.compress(flat, np.array([len(d) + 1 for d in docs_]), least=least))
+        assert (block.all()[0] == flat).all()
+        counts: Counter = Counter()
+        for k in range(len(docs_)):
+            seq, last = block.seq[block.starts[k] : block.starts[k + 1] - 1].tolist(), {}
+            for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+                if pair[0] != pair[1] or last.get(pair) != i - 1:
+                    counts[pair] += 1
+                    last[pair] = i
+        assert max(counts.values(), default=0) < least
+        rules, left = textbook(docs_, least)
+        ours = 2 * (len(block.size) - len(block.terminals) - 1) + len(block.seq) - len(docs_)
+        assert ours <= 1.15 * (2 * rules + left)
+
+
+def test_blocks_of_any_size(monkeypatch):
+    """Where places and symbols do not fit one number, sorting goes another way to the same grammar."""
+    rng = np.random.default_rng(6)
+    ids = np.append(np.repeat(rng.integers(3, 50, 3000), rng.integers(1, 4, 3000)), 2).astype(np.uint32)
+    data = repair.compress(ids, np.array([len(ids)]))
+    plain = repair._sorted
+
+    def other(a, b, at, out, n):
+        key, place, bits = plain(a, b, at, out, 1 << 31)
+        assert bits is None
+        return key >> np.uint64(32) << np.uint64(n.bit_length()) | key & np.uint64((1 << 32) - 1), place, None
+
+    monkeypatch.setattr(repair, "_sorted", other)
+    assert repair.compress(ids, np.array([len(ids)])) == data
+
+
+def test_token_file_of_one_id(spark, library):
+    """Rows that share an id, null among them, are dealt to several tasks and lose none."""
+    df = spark.range(0, 400, 1, 4).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("same text "), (F.col("id") % 3).cast("string"))).alias("text"))
+    blocks = repair.write_tokens(df, TOKENIZER, parts=8)
+    assert blocks.select("part").distinct().count() > 4
+    got = repair.read_tokens(blocks).collect()
+    want = Counter((r["doc_id"], zlib.crc32(np.array([*library(r["text"]), 2], "<u4").tobytes())) for r in df.collect())
+    assert Counter((r["id"], r["ids_crc32"]) for r in got) == want
+    run = sorted((r["start"], r["n_tokens"], r["id"] is not None) for r in got)
+    assert [r[0] for r in run] == np.cumsum([0, *(r[1] for r in run)])[:-1].tolist() and [r[2] for r in run] == sorted(r[2] for r in run)
+
+
+# ---- tokenizers that split otherwise
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    """A file that asks for other splitting has its texts encoded whole."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    some = ["a b  c", "the end.\nNext", "", "it's 23,5", "x" * 40]
+    other = Tokenizer.from_file(TOKENIZER)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    for path in (str(tmp_path / "other.json"), public_tokenizers.path("word_bpe_49k.json")):
+        encoder = tokens.Encoder.of(path)
+        assert not encoder.by_parts
+        ids, n = encoder.encode(some)
+        assert ids.tolist() == [x for t in some for x in Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+
+
+def test_encoder_forgets(library, monkeypatch):
+    """Parts beyond what a worker keeps are learned anew."""
+    monkeypatch.setattr(tokens, "PARTS", 5)
+    encoder = tokens.Encoder(TOKENIZER)
+    for text in ["one two three four five six", "one two", "seven. eight, nine\nten"] * 2:
+        assert encoder.encode([text])[0].tolist() == library(text)
