@@ -2,18 +2,21 @@
 
 Documents are aggregated by membership pattern (the set of sources that a document belongs to); a small network then
 routes each pattern's tokens to its sources' quotas. A pattern can be taken again and again, up to a limit, at a cost
-that rises with each repetition (convex, so that fresh tokens always go first and repeats spread evenly); successive
-shortest paths find the flow. What flows out of a pattern is whole passes over its documents, and of one last pass
-the documents of least seeded hash, the last of them in part, so that the words taken add up to the flow.
+that rises with each repetition (convex, so that fresh tokens always go first and repeats spread evenly). As only the arcs
+into patterns cost anything, the cheapest paths are those of the fewest repetitions: the flow is made greatest for
+first passes, then augmented with second ones, and so on, each time by blocking flows. What flows out of a pattern is whole
+passes over its documents, and of one last pass the documents of least seeded hash, the last of them in part, so that the
+words taken add up to the flow.
 
 Only sums by pattern, and by hash range within a pattern, reach the driver.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +26,8 @@ from .common import WORD, materialize
 
 #: Times a document is taken at most.
 REPEATS = 3
-#: Patterns, and sources, whose sums the driver takes at most; more are an error, not a sample.
+#: Patterns whose sums the driver takes at most; more are an error, not a sample. (So many of one source each take 1 s there,
+#: so many that overlap at random 20 s.)
 PATTERNS = 100_000
 #: Hash ranges that the last pass over a pattern is cut into, level by level, and the documents of a range that are few
 #: enough to be put in order.
@@ -38,80 +42,101 @@ def word_count(text: Column) -> Column:
 def water_fill(weights: list[Fraction], caps: list[Fraction], total: Fraction) -> list[Fraction]:
     """Shares of the total in proportion to the weights, each at most its cap; what caps cut off is shared again by
     weight among the others until none exceeds its cap, or all are full."""
-    share, open_ = [Fraction(0)] * len(caps), set(range(len(caps)))
-    left = Fraction(total)
-    while open_ and left > 0:
-        weight = sum(weights[i] for i in open_)
-        if not weight:
-            break
-        full = {i for i in open_ if left * weights[i] / weight >= caps[i]}
-        if not full:
-            for i in open_:
-                share[i] = left * weights[i] / weight
-            break
-        for i in full:
-            share[i] = caps[i]
-        left -= sum(caps[i] for i in full)
-        open_ -= full
+    share, left, weight = [Fraction(0)] * len(caps), Fraction(total), sum(weights, Fraction(0))
+    # the first to be full is the one of least cap for its weight
+    for i in sorted((i for i in range(len(caps)) if weights[i]), key=lambda i: caps[i] / weights[i]):
+        share[i] = min(caps[i], left * weights[i] / weight)
+        left -= share[i]
+        weight -= weights[i]
     return share
 
 
-def min_cost_flow(arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """arcs: (from, to, capacity, cost >= 0). The flow on each arc of a maximal flow of least cost, by successive
-    shortest paths with potentials. Integer capacities give integer flows."""
-    n = 1 + max([source, sink, *(max(a[:2]) for a in arcs)])
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
-    for a, b, c, w in arcs:
-        for x, y, z, v in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(to))
-            to.append(y)
-            cap.append(z)
-            cost.append(v)
-    height = [0] * n
-    while True:
-        far, via = [None] * n, [-1] * n
-        far[source] = 0
-        heap = [(0, source)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
-            for e in out[x]:
-                y = to[e]
-                if cap[e] and (far[y] is None or d + cost[e] + height[x] - height[y] < far[y]):
-                    far[y], via[y] = d + cost[e] + height[x] - height[y], e
-                    heapq.heappush(heap, (far[y], y))
-        if far[sink] is None:
-            return [cap[2 * k + 1] for k in range(len(arcs))]
-        most = max(d for d in far if d is not None)
-        height = [h + (most if d is None else d) for h, d in zip(height, far, strict=True)]
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+class Network:
+    """Arcs with capacities; flow() augments to a greatest flow from what is there, by blocking flows on shortest paths."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.cap: list[int] = []
+
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.cap.append(c)
+        return len(self.to) - 2
+
+    def flow(self, source: int, sink: int) -> None:
+        out, to, cap = self.out, self.to, self.cap
+        while True:
+            far = [-1] * len(out)
+            far[source] = 0
+            queue = deque([source])
+            while queue and far[sink] < 0:
+                x = queue.popleft()
+                for e in out[x]:
+                    if cap[e] and far[to[e]] < 0:
+                        far[to[e]] = far[x] + 1
+                        queue.append(to[e])
+            if far[sink] < 0:
+                return
+            nth = [0] * len(out)
+            path: list[int] = []
+            x = source
+            while True:
+                if x == sink:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    # goes on from the first arc that is full
+                    k = next(i for i, e in enumerate(path) if not cap[e])
+                    x = to[path[k] ^ 1]
+                    del path[k:]
+                while nth[x] < len(out[x]):
+                    e = out[x][nth[x]]
+                    if cap[e] and far[to[e]] == far[x] + 1:
+                        path.append(e)
+                        x = to[e]
+                        break
+                    nth[x] += 1
+                else:
+                    if x == source:
+                        break
+                    e = path.pop()
+                    x = to[e ^ 1]
+                    nth[x] += 1
 
 
 def route(patterns: list[tuple[tuple, int]], targets: dict, repeats: int = REPEATS) -> list[dict]:
-    """patterns: (its sources, words). For each the words that go to each source. The r-th pass costs r - 1 a word."""
-    names = sorted({s for p, _ in patterns for s in p}, key=repr)
-    at = {s: 1 + len(patterns) + i for i, s in enumerate(names)}
-    sink = 1 + len(patterns) + len(names)
-    arcs, edges = [], []
-    for i, (p, words) in enumerate(patterns):
-        arcs += [(0, 1 + i, words, r) for r in range(repeats)]
+    """patterns: (its sources, words), distinct. For each the words that go to each source: of the flows that meet most of the
+    targets, one of least cost, where the r-th pass over a pattern costs r - 1 a word. A source that no other shares a pattern with
+    needs no network."""
+    times: dict = {}
+    for p, _ in patterns:
         for s in p:
-            edges.append((len(arcs), i, s))
-            arcs.append((1 + i, at[s], repeats * words, 0))
-    arcs += [(at[s], sink, int(round(targets.get(s, 0))), 0) for s in names]
-    flow = min_cost_flow(arcs, 0, sink)
+            times[s] = times.get(s, 0) + 1
     out: list[dict] = [{} for _ in patterns]
-    for k, i, s in edges:
-        if flow[k]:
-            out[i][s] = flow[k]
+    apart = [len(p) == 1 and times[p[0]] == 1 for p, _ in patterns]
+    for i, (p, words) in enumerate(patterns):
+        if apart[i] and (n := min(repeats * words, int(round(targets.get(p[0], 0))))) > 0:
+            out[i][p[0]] = n
+    others = [i for i in range(len(patterns)) if not apart[i]]
+    names = list(dict.fromkeys(s for i in others for s in patterns[i][0]))
+    at = {s: 1 + len(others) + k for k, s in enumerate(names)}
+    sink = 1 + len(others) + len(names)
+    net = Network(sink + 1)
+    into = [net.arc(0, 1 + k, 0) for k in range(len(others))]
+    edges = [(net.arc(1 + k, at[s], repeats * patterns[i][1]), i, s) for k, i in enumerate(others) for s in patterns[i][0]]
+    for s in names:
+        net.arc(at[s], sink, int(round(targets.get(s, 0))))
+    for _ in range(repeats):
+        for e, i in zip(into, others, strict=True):
+            net.cap[e] += patterns[i][1]
+        net.flow(0, sink)
+    for e, i, s in edges:
+        if net.cap[e ^ 1]:
+            out[i][s] = net.cap[e ^ 1]
     return out
 
 
@@ -120,30 +145,39 @@ def _rank(seed: int, name: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(name).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _tie(text: Column) -> Column:
+    """The order of rows of one id: 30 bits of the text's hash, then 30 of where the row was read. Rows that only the latter
+    tells apart are equal, so the results are the same whichever has which."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 34), 30).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 34))
+
+
 def _cutoffs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each pattern of wanted (pattern, want): (pattern, below, want), so that the words of rows whose rank is less
-    than `below` are less than the first want, the rest being left to the documents of rank `below` and more, of which
-    few are needed. Goes down hash ranges, 256 at a time."""
-    width = 1 << 60
-    now = wanted.select("pattern", F.lit(0).cast("long").alias("below"), "want")
-    while width > 1:
-        wider, width = width, max(1, width // RANGES)
-        inside = rows.join(now, "pattern").where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.lit(wider)))
-        sums = inside.groupBy("pattern", "below", "want", F.floor((F.col("rank") - F.col("below")) / F.lit(width)).cast("long").alias("k")).agg(
-            F.sum("size").alias("words"), F.count("*").alias("n")
-        )
-        before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        hit = materialize(
-            sums.withColumn("before", before)
-            .where((F.col("before") < F.col("want")) & (F.col("before") + F.col("words") >= F.col("want")))
-            .select("pattern", (F.col("below") + F.col("k") * F.lit(width)).alias("below"), (F.col("want") - F.col("before")).alias("want"), "n"),
-            "cutoff",
-        )
-        most = hit.agg(F.max("n")).first()[0]
-        now = hit.select("pattern", "below", "want")
-        if most is None or most <= FEW:
-            return now.withColumn("width", F.lit(width).cast("long"))
-    return now.withColumn("width", F.lit(1).cast("long"))
+    """For each pattern of wanted (pattern, want): the range (rank from r on, r_width wide; in it tie from t on, t_width wide) of
+    few rows in which the words of rows in ascending order reach want, and the words `last` still wanted there. Goes down
+    ranges of rank, 256 at a time, then of tie where a rank has many rows."""
+    whole = 1 << 60
+    now = wanted.select("pattern", *[F.lit(x).cast("long").alias(c) for c, x in (("r", 0), ("r_width", whole), ("t", 0), ("t_width", whole))], F.col("want").alias("last"))
+    for name, low, wide in (("rank", "r", "r_width"), ("tie", "t", "t_width")):
+        width = whole
+        while width > 1:
+            width = max(1, width // RANGES)
+            inside = rows.join(F.broadcast(now), "pattern").where(_inside())
+            nth = F.floor((F.col(name) - F.col(low)) / F.lit(width)).cast("long")
+            sums = inside.groupBy(*now.columns, nth.alias("k")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+            before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            hit = sums.withColumn("before", before).where((F.col("before") < F.col("last")) & (F.col("before") + F.col("words") >= F.col("last")))
+            new = {low: F.col(low) + F.col("k") * F.lit(width), wide: F.lit(width).cast("long"), "last": F.col("last") - F.col("before")}
+            hit = materialize(hit.select(*[new.get(c, F.col(c)).alias(c) for c in now.columns], "n"), "cutoff")
+            most = hit.agg(F.max("n")).first()[0]
+            now = hit.drop("n")
+            if most is None or most <= FEW:
+                return now
+    return now
+
+
+def _inside() -> Column:
+    r, t = F.col("rank") - F.col("r"), F.col("tie") - F.col("t")
+    return (r >= 0) & (r < F.col("r_width")) & (t >= 0) & (t < F.col("t_width"))
 
 
 def mix(
@@ -165,49 +199,51 @@ def mix(
     share all words, each at most `repeats` times its size, the excess shared again. A row is taken whole some times,
     at most `repeats`, but for one row of each pattern at most, taken in part. Equal rows and ids are told apart by
     nothing, so which of them is taken in part is open, the multiset of results is not. Null and blank texts have no
-    words, and none are taken. Same rows, same seed: same result."""
+    words, and none are taken. Same rows, same seed: same result. At most PATTERNS sets of sources."""
     many = isinstance(df.schema[source_col].dataType, T.ArrayType)
     of = F.col(source_col).cast("array<string>") if many else F.array(F.col(source_col).cast("string"))
     of = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(of), F.lit(0)) > 0, of).otherwise(F.array(F.lit(None).cast("string")))))
-    rows = df.select(F.col(id_col).alias("id"), of.alias("sources"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows.select("id", "sources", "size", F.xxhash64("sources").alias("pattern"), _rank(seed, "id").alias("rank")), "sizes")
-    sums = rows.groupBy("sources", "pattern").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
+    rows = df.select(F.col(id_col).alias("id"), of.alias("sources"), word_count(F.col(text_col)).alias("size"), _tie(F.col(text_col)).alias("tie"))
+    rows = materialize(rows.select("id", "sources", "size", _rank(seed, "id").alias("rank"), "tie"), "sizes")
+    sums = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
-    patterns = sorted(((tuple(r["sources"]), r["words"], r["pattern"]) for r in sums), key=lambda p: [(s is None, s or "") for s in p[0]])
+    patterns = sorted(((tuple(r["sources"]), r["words"]) for r in sums), key=lambda p: [(s is None, s or "") for s in p[0]])
     size: dict = {}
-    for p, words, _ in patterns:
+    for p, words in patterns:
         for s in p:
             size[s] = size.get(s, 0) + words
     names = sorted(size, key=lambda s: (s is None, s or ""))
     if targets is None:
-        share = water_fill(
-            [Fraction(weights[i % len(weights)]) for i in range(len(names))], [Fraction(repeats * size[s]) for s in names], Fraction(sum(w for _, w, _ in patterns))
-        )
+        share = water_fill([Fraction(weights[i % len(weights)]) for i in range(len(names))], [Fraction(repeats * size[s]) for s in names], Fraction(sum(w for _, w in patterns)))
         targets = dict(zip(names, share, strict=True))
-    flow = route([(p, w) for p, w, _ in patterns], targets, repeats)
-    plan = [
-        (pattern, sum(size[s] for s in p), float(sum(targets.get(s, 0) for s in p)), min(repeats, sum(f.values()) // words) if words else 0, sum(f.values()) % words if words else 0)
-        for (p, words, pattern), f in zip(patterns, flow, strict=True)
-    ]
-    spark = df.sparkSession
-    kind = "array<struct<pattern:bigint,source_size:bigint,target:double,passes:bigint,want:bigint>>"
-    literal = F.from_json(F.lit("[" + ",".join('{"pattern":%d,"source_size":%d,"target":%r,"passes":%d,"want":%d}' % p for p in plan) + "]"), kind)
-    table = spark.range(1).select(F.explode(literal).alias("p")).select("p.*")
-    cuts = _cutoffs(rows, table.where("want > 0").select("pattern", "want"))
-    cuts = cuts.select("pattern", "below", "width", F.col("want").alias("last"))
-    told = rows.join(F.broadcast(table), "pattern").join(F.broadcast(cuts), "pattern", "left")
-    on_edge = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("width"))
-    edge = told.where(on_edge)
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = [sum(f.values()) for f in route(patterns, targets, repeats)]
+    plan = pa.table(
+        {
+            "sources": pa.array([list(p) for p, _ in patterns], pa.list_(pa.string())),
+            "pattern": pa.array(range(len(patterns)), pa.int64()),
+            "source_size": pa.array([sum(size[s] for s in p) for p, _ in patterns], pa.int64()),
+            "target": pa.array([float(sum(targets.get(s, 0) for s in p)) for p, _ in patterns], pa.float64()),
+            "passes": pa.array([min(repeats, t // words) if words else 0 for t, (_, words) in zip(taken, patterns, strict=True)], pa.int64()),
+            "want": pa.array([t % words if words else 0 for t, (_, words) in zip(taken, patterns, strict=True)], pa.int64()),
+        }
+    )
+    table = materialize(df.sparkSession.createDataFrame(plan), "plan")
+    # no more rows than PATTERNS, whatever df
+    told = rows.join(F.broadcast(table), "sources")
+    cuts = _cutoffs(told.where("want > 0").select("pattern", "size", "rank", "tie"), table.where("want > 0").select("pattern", "want"))
+    told = told.join(F.broadcast(cuts), "pattern", "left")
+    edge = told.where(_inside())
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("rank", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("last") - before)))
-    rest = told.where(~F.coalesce(on_edge, F.lit(False))).withColumn("extra", F.when(F.col("rank") < F.col("below"), F.col("size")).otherwise(0))
-    taken = F.col("passes") * F.col("size") + F.col("extra")
+    first = (F.col("rank") < F.col("r")) | ((F.col("rank") < F.col("r") + F.col("r_width")) & (F.col("tie") < F.col("t")))
+    rest = told.where(~F.coalesce(_inside(), F.lit(False))).withColumn("extra", F.when(first, F.col("size")).otherwise(0))
+    words = F.col("passes") * F.col("size") + F.col("extra")
     return rest.unionByName(edge).select(
         "id",
         "size",
         "source_size",
         "target",
-        taken.cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.floor(taken / F.col("size"))).otherwise(0).cast("int").alias("copies"),
+        words.cast("long").alias("taken"),
+        F.when(F.col("size") > 0, F.floor(words / F.col("size"))).otherwise(0).cast("int").alias("copies"),
     )
