@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes for df not to have it (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a DataFrame that reads it: lineage ends there, and a lost
     executor costs only the tasks that it had not finished."""
@@ -54,20 +65,27 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _libc(name: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def give_back() -> None:
     """Returns to the system what this process has freed: workers live on from task to task, and from query to query, and
     what their allocators keep counts against the executor."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+    _libc("malloc_trim", 0)
 
 
 def thrifty(each):
-    """An iterator function's batches, with give_back() at the end of a task."""
+    """An iterator function's batches. Within a task freed memory up to 32 MB is kept for the next array, as getting it anew costs as
+    much time as filling it; at the end of the task it goes back."""
 
     def run(batches):
+        _libc("mallopt", -3, 32 << 20)  # M_MMAP_THRESHOLD
+        _libc("mallopt", -1, 256 << 20)  # M_TRIM_THRESHOLD
         try:
             yield from each(batches)
         finally:
@@ -76,6 +94,16 @@ def thrifty(each):
     return run
 
 
+def arrow_column(f, kind: str):
+    """A user-defined function of one column from f, which maps an Arrow array to one as long, with give_back() at the end of a
+    task."""
+
+    def column(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from thrifty(lambda some: map(f, some))(arrays)
+
+    return F.arrow_udf(column, kind)
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n; null where the id is null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import runs, text_buffers, unit_hash
+from .common import arrow_column, bounded, runs, text_buffers, thrifty, unit_hash
 
 #: Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -240,44 +241,44 @@ def fit_languages(
     df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_cols: tuple[str, ...] = ("doc_id",), per_lang: int = PER_LANG, sample: int = SAMPLE, seed: int = 0
 ) -> LanguageModel:
     """Learns from rows of df with a language and a letter: at most `per_lang` whole texts a language and `sample` in
-    all, those of least hash of key_cols (which serve for nothing else). Memory on the driver is bounded by that; rows
-    without any such label give a model that answers UNKNOWN."""
+    all, those of least hash of text and key_cols (which serve for nothing else); equal rows count once. The cut is made where the
+    rows are, so `sample` lists of BUCKETS counts at most reach the driver, however rows and keys repeat. More than half as many
+    languages as `sample` are an error; rows without any such label give a model that answers UNKNOWN."""
+    bounded(df.sparkSession)
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)])
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", "text", unit_hash(seed, F.col("text"), *[F.col(f"k{i}") for i in range(len(key_cols))]).alias("u"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("u").alias("n")).limit(sample // 2 + 1).collect()}
     if not counts:
         return LanguageModel.fit([])
+    if len(counts) > sample // 2:
+        raise ValueError(f"more than {sample // 2} languages")
     each = max(2, min(per_lang, sample // len(counts)))
-    u = unit_hash(seed, *[F.col(f"k{i}") for i in range(len(key_cols))])
-    limit = F.element_at(F.create_map(*[F.lit(y) for k, n in counts.items() for y in (k, 1.3 * each / n + 20 / n)]), F.col("lang"))
+    limit = F.element_at(F.create_map(*[F.lit(y) for k, n in counts.items() for y in (k, 1.5 * each / max(1, n) + 20 / max(1, n))]), F.col("lang"))
+    some = rows.where((F.col("u") < limit) & F.col("text").rlike(r"\p{L}")).groupBy("lang", "u").agg(F.first("text").alias("text"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("nth") <= each)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = _letters(batch.column("text")).to_pylist()
-            found = [histogram(t) if ok else ((), ()) for t, ok in zip(batch.column("text").to_pylist(), on, strict=True)]
-            lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            found = [histogram(x.as_py()) for x in batch.column("text")]
+            lists = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.record_batch({"u": batch.column("u"), "lang": batch.column("lang"), "at": lists[0], "n": lists[1]})
 
-    got = rows.select("lang", "text", u.alias("u")).where(F.col("u") < limit).mapInArrow(count, "u double, lang string, at array<int>, n array<int>").toArrow()
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted((r for r in got.to_pylist() if r["at"]), key=lambda r: (r["lang"], r["u"], r["at"], r["n"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            out.append((r["lang"], np.array(r["at"]), np.array(r["n"])))
-    return LanguageModel.fit(out, seed)
+    got = some.select("u", "lang", "text").mapInArrow(thrifty(count), "u double, lang string, at array<int>, n array<int>").toArrow().sort_by([("lang", "ascending"), ("u", "ascending")])
+    arrays = [got.column(c).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n")]
+    lists = [[x.values.to_numpy() for x in a] for a in arrays]
+    return LanguageModel.fit(list(zip(got.column("lang").to_pylist(), *lists, strict=True)), seed)
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:
     """struct(lang, score) of a text: null and texts without a letter are UNKNOWN with score 0. Texts are read whole;
     no other column counts."""
 
-    @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         lang, score = model.predict(texts)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    return predict(text.cast("string"))
+    return arrow_column(predict, "lang string, score double")(text.cast("string"))
 
 
 def judged(model: LanguageModel, text: Column) -> Column:
@@ -289,9 +290,8 @@ def judged(model: LanguageModel, text: Column) -> Column:
         data = np.frombuffer(x.as_py().encode() if x.is_valid else b"", np.uint8)
         return float(np.count_nonzero(_MAP[data] != 32) / max(1, np.count_nonzero(data > 32)))
 
-    @F.arrow_udf("lang string, margin double, likeness double, letters double")
     def judge(texts: pa.Array) -> pa.Array:
         found = [pa.array(x) for x in model.judge(texts)] + [pa.array(map(share, texts), pa.float64())]
         return pa.StructArray.from_arrays(found, ["lang", "margin", "likeness", "letters"])
 
-    return judge.asNondeterministic()(text.cast("string"))
+    return arrow_column(judge, "lang string, margin double, likeness double, letters double").asNondeterministic()(text.cast("string"))

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 #: A prime, about a hundred slots a shard: shards' shares then differ by 1 %.
@@ -66,9 +66,10 @@ def place(df: DataFrame, key: Column, shards: tuple[str, ...] = SHARDS, slots: i
     Equal keys share a shard, null counts as the empty text; no rows, no rows. No shuffle: the table has `slots` rows,
     however large df is, and is broadcast. Rows of a shard number as its keys' rows do: give a key that is spread."""
     slot, shard = names
-    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    rows = df.withColumn("__slot", slot_of(key, slots)).join(F.broadcast(table), "__slot")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], F.col("__slot").alias(slot), F.col("__shard").alias(shard))
+    at, of = free_names(df, "slot", "shard")
+    table = lookup_table(df.sparkSession, shards, slots).select(F.col("slot").alias(at), F.col("shard").alias(of))
+    rows = df.withColumn(at, slot_of(key, slots)).join(F.broadcast(table), at)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], F.col(at).alias(slot), F.col(of).alias(shard))
 
 
 def write_shards(df: DataFrame, key: Column, path: str, files: int = 8, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:

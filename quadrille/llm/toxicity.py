@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, spread, text_buffers, unit_hash
+from .common import arrow_column, bounded, runs, spread, text_buffers, unit_hash
 
 #: Buckets of n-grams, their lengths in bytes, components of an embedding.
 BUCKETS, GRAMS, DIM = 1 << 16, (3, 4, 5, 6), 8
@@ -294,37 +294,42 @@ def fit_toxicity(
     seed: int = 0,
 ) -> ToxicityModel:
     """Learns from documents whose id is in labels with 0 or 1: at most `per_class` toxic and twice as many other whole
-    texts, those of least hash of the id, and of all at most `text_bytes` bytes (texts beyond that are left out whole). An id with
-    both labels counts as toxic; null ids, texts and other labels teach nothing; without any label every text has the
-    same score."""
+    texts, those of least hash of the id. All of them have at most `text_bytes` bytes, and none more than an eighth of that: longer ones
+    teach nothing (they are scored like any other), and one that no longer fits makes room for the next. An id with both labels counts as
+    toxic; of an id with several texts the one of least hash counts; null ids, texts and other labels teach nothing; without any
+    label every text has the same score.
+
+    Which texts these are is found from hashes and sizes, a row for each of a bounded number of labelled ids; then those texts
+    alone reach the driver, however often ids and texts repeat."""
+    bounded(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if not n:
         return fit([], np.zeros(0, np.int64), 0.5)
     u = unit_hash(seed, F.col("id"))
     limit = F.element_at(F.create_map(*[F.lit(x) for y, c in n.items() for x in (y, 1.3 * per_class * (2 - y) / c + 20 / c)]), F.col("y"))
+    # about 1.3 * 3 * per_class + 40 rows, whatever the tables
     some = marks.withColumn("u", u).where(F.col("u") < limit)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    size = F.octet_length("text")
-    rows = texts.join(F.broadcast(some), "id").where(size <= text_bytes // 8).select("y", "u", "text").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["u"], r["text"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = texts.where(F.octet_length("text") <= text_bytes // 8).withColumn("h", F.xxhash64("text"))
+    found = texts.join(F.broadcast(some), "id").groupBy("id", "y", "u").agg(F.min(F.struct("h", F.octet_length("text").alias("b"))).alias("t"))
+    rows = found.select("id", "y", "u", "t.h", "t.b").toArrow()
+    order = np.lexsort((rows.column("h").to_numpy(), rows.column("u").to_numpy()))
+    y, size = rows.column("y").to_numpy(), rows.column("b").to_numpy()
     taken, used, chosen = {0: 0, 1: 0}, 0, []
-    for r in rows:
-        b = len(r["text"].encode())
-        if taken[r["y"]] < per_class * (2 - r["y"]) and used + b <= text_bytes:
-            taken[r["y"]] += 1
-            used += b
+    for r in order.tolist():
+        if taken[y[r]] < per_class * (2 - y[r]) and used + size[r] <= text_bytes:
+            taken[y[r]] += 1
+            used += size[r]
             chosen.append(r)
-    del rows
-    return fit([r["text"] for r in chosen], np.array([r["y"] for r in chosen], np.int64), n.get(1, 0) / sum(n.values()), seed=seed)
+    picked = docs.sparkSession.createDataFrame(rows.take(pa.array(chosen, pa.int64())).select(["id", "h"]).append_column("nth", pa.array(range(len(chosen)), pa.int32())))
+    got = texts.join(F.broadcast(picked), ["id", "h"]).groupBy("nth").agg(F.first("text").alias("text")).toArrow().sort_by("nth")
+    at = got.column("nth").to_numpy()
+    return fit(got.column("text").to_pylist(), y[np.array(chosen, np.int64)][at].astype(np.int64), n.get(1, 0) / sum(n.values()), seed=seed)
 
 
 def toxicity(model: ToxicityModel, text: Column) -> Column:
     """The score of a text, 0 to 1, from all of it and nothing else; null is an empty text, which has the share of toxic
     documents that training saw as its score."""
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts))
-
-    return score(text.cast("string"))
+    return arrow_column(lambda texts: pa.array(model.score(texts)), "double")(text.cast("string"))
