@@ -2,8 +2,8 @@
 
 Documents, in ascending order of their ids, are encoded and cut into blocks of bounded size. In each block the most
 frequent pairs of adjacent symbols are replaced by nonterminals, again and again, until no pair occurs as often as its
-rule needs to pay for itself. Counts are exact; a pass takes all pairs that occur at least a fourth as often as the most
-frequent one, and where two of them overlap, the more frequent one has the place. The block holds the rules, the length that
+rule needs to pay for itself. Counts are exact; a pass takes all pairs that occur as often as a floor, which goes down step by
+step, and where two of them overlap, the more frequent one has the place. The block holds the rules, the length that
 each expands to, and where each document's symbols begin, so that any stretch of any document is decoded from the
 symbols that cover it alone.
 
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, materialize, runs, spread, text_buffers, thrifty
+from .common import BATCH, bounded, materialize, runs, spread, text_buffers, thrifty
 from .tokens import Encoder
 
 END = 2
 #: Ids of a block (a longer document has a block of its own); least occurrences of a pair that is replaced: a rule takes 12
-#: bytes, each replacement saves 4 at most; how much rarer than the most frequent pair those are that a pass takes with it;
+#: bytes, each replacement saves 4 at most; how many times lower each floor is than the one before;
 #: places are this many times those that a pass has changed where these wait for the next pass over all.
 BLOCK, LEAST, FACTOR, FEW = 1 << 20, 4, 4, 100
 _MAGIC = b"QRP1"
@@ -85,15 +85,10 @@ def _sorted(a: np.ndarray, b: np.ndarray, at: np.ndarray, out: np.ndarray, n: in
     return key >> np.uint64(bits), key, np.uint64(bits)
 
 
-def _replaced(seq: np.ndarray, n: int, at: np.ndarray | None, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """One pass over the pairs that begin at the places `at`: (rules of the symbols n, n + 1, .., the sequence with them in
-    place, places of pairs that were taken or are new, floor), or None if no pair occurs `floor` times. at None: all pairs, and the
-    floor is lowered to a part of what the most frequent pair has, but not below `least`."""
-    everywhere = at is None
-    if at is None:
-        at, a, b = np.arange(max(0, len(seq) - 1)), seq[:-1], seq[1:]
-    else:
-        a, b = seq[at], seq[at + 1]
+    place, places of pairs that were taken or are new), or None if no pair occurs `floor` times."""
+    a, b = seq[at], seq[at + 1]
     # of a run of equal symbols every other pair counts; none counts that the end of a document is part of
     same = np.flatnonzero(a == b)
     out = (a == 0) | (b == 0)
@@ -104,9 +99,7 @@ def _replaced(seq: np.ndarray, n: int, at: np.ndarray | None, least: int, floor:
     key, place, bits = _sorted(a, b, at, np.flatnonzero(out), n)
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(key)))
-    most = int(count.max(initial=0))
-    floor = max(least, min(floor, -(-most // FACTOR))) if everywhere else floor
-    if most < floor:
+    if count.max(initial=0) < floor:
         return None
     pick = np.flatnonzero(count >= floor)
     pick = pick[np.argsort(-count[pick], kind="stable")]
@@ -141,24 +134,31 @@ def _replaced(seq: np.ndarray, n: int, at: np.ndarray | None, least: int, floor:
     pair = key[begin[pick[kept]]]
     width = np.uint64(n.bit_length())
     rules = np.stack((pair >> width, pair & np.uint64((1 << int(width)) - 1)), 1).astype(np.uint32)
-    return rules, seq, np.flatnonzero(live), floor
+    return rules, seq, np.flatnonzero(live)
 
 
 def grammar_of(seq: np.ndarray, n: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Symbols below n, 0 in no pair: the rules, pass by pass, and the sequence that is left, in which no pair occurs `least`
-    times. After a pass over all pairs, those that it took and those that its symbols make are looked at again while any of
-    them is as frequent (all others have only become rarer); where these are few, the next pass over all has them, too."""
+    times. Floors go down to `least`; a pair that occurs so often consists of symbols that do. After a pass over all such places,
+    the pairs that it took and those that its symbols make are looked at again while any of them is as frequent (all others have
+    only become rarer); where these are few, the next pass over all has them, too."""
     rules: list[np.ndarray] = []
-    floor = len(seq)
-    while (done := _replaced(seq, n, None, least, floor // FACTOR)) is not None:
+    floor = int(np.bincount(seq).max(initial=0))
+    while True:
+        floor = floor // FACTOR if floor >= FACTOR * FACTOR * least else least
+        often = np.bincount(seq, minlength=n) >= floor
+        often[0] = False
+        on = often[seq]
+        done = _replaced(seq, n, np.flatnonzero(on[:-1] & on[1:]), least, floor)
+        if done is None and floor == least:
+            return rules, seq
         while done is not None:
-            new, seq, live, floor = done
+            new, seq, live = done
             rules.append(new)
             n += len(new)
             if floor > least and len(live) < len(seq) // FEW:
                 break
             done = _replaced(seq, n, live, least, floor)
-    return rules, seq
 
 
 class Block:
@@ -212,7 +212,7 @@ class Block:
         return self._expand(symbols[i:j])[skip : skip + stop - start]
 
 
-def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = BATCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, ids with the end id after each text, how many each has), by runs of about `most` bytes."""
     texts = texts.fill_null("")
     at, _ = text_buffers(texts)
@@ -248,7 +248,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, kind: pa.DataT
 def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, parts: int | None = None) -> DataFrame:
     """Writes df's texts as a table of blocks (part, block, n_ids, docs, data) in the shared folder and returns it:
     documents stand in ascending order of (part, block, place in docs), null ids first, equal ids in the order of their
-    texts' first 64 characters, then of a hash of them (and such rows may be several tasks'). Null is an empty text, which has the end id
+    texts' first 16 characters, then of a hash of them (and such rows may be several tasks'). Null is an empty text, which has the end id
     alone. No rows, no blocks. parts: tasks that encode (by default as many as read df, and at least spark.sql.shuffle.partitions)."""
     spark = bounded(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -258,7 +258,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     arrow = to_arrow_type(kind)
     # ids that many rows share, null among them, are told apart by text, and equal rows by where they were read
-    told = rows.withColumns({"begin": F.substring("text", 1, 64), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    told = rows.withColumns({"begin": F.substring("text", 1, 16), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     dealt = told.repartitionByRange(parts, "id", "begin", "tie", "row").sortWithinPartitions("id", "begin", "tie").select("id", "text")
     blocks = dealt.mapInArrow(thrifty(lambda b: _pack(b, tokenizer, end, arrow)), f"part int, block int, n_ids long, docs array<{kind.simpleString()}>, data binary")
     return materialize(blocks, "tokens", compression="none")
