@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BATCH, bounded, materialize, runs, spread, text_buffers, thrifty
+from .common import bounded, materialize, runs, spread, text_buffers, thrifty
 from .tokens import Encoder
 
 END = 2
@@ -33,6 +33,8 @@ END = 2
 #: bytes, each replacement saves 4 at most; how many times lower each floor is than the one before;
 #: places are this many times those that a pass has changed where these wait for the next pass over all.
 BLOCK, LEAST, FACTOR, FEW = 1 << 20, 4, 4, 100
+#: Floor from which on pairs are counted by buckets before they are sorted.
+SORTED = 32
 _MAGIC = b"QRP1"
 _NONE = np.iinfo(np.int32).max
 
@@ -137,6 +139,20 @@ def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -
     return rules, seq, np.flatnonzero(live)
 
 
+def _places(seq: np.ndarray, n: int, floor: int) -> np.ndarray:
+    """Where pairs begin that may occur `floor` times: their symbols do, and so does the bucket that they are hashed to."""
+    often = np.bincount(seq, minlength=n) >= floor
+    often[0] = False
+    on = often[seq]
+    at = np.flatnonzero(on[:-1] & on[1:])
+    if floor < SORTED:
+        return at
+    bucket = seq[at] * np.uint32(0x9E3779B1)
+    bucket += seq[1:][at] * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - 18)
+    return at[(np.bincount(bucket, minlength=1 << 18) >= floor)[bucket]]
+
+
 def grammar_of(seq: np.ndarray, n: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Symbols below n, 0 in no pair: the rules, pass by pass, and the sequence that is left, in which no pair occurs `least`
     times. Floors go down to `least`; a pair that occurs so often consists of symbols that do. After a pass over all such places,
@@ -146,10 +162,7 @@ def grammar_of(seq: np.ndarray, n: int, least: int) -> tuple[list[np.ndarray], n
     floor = int(np.bincount(seq).max(initial=0))
     while True:
         floor = floor // FACTOR if floor >= FACTOR * FACTOR * least else least
-        often = np.bincount(seq, minlength=n) >= floor
-        often[0] = False
-        on = often[seq]
-        done = _replaced(seq, n, np.flatnonzero(on[:-1] & on[1:]), least, floor)
+        done = _replaced(seq, n, _places(seq, n, floor), least, floor)
         if done is None and floor == least:
             return rules, seq
         while done is not None:
@@ -212,7 +225,7 @@ class Block:
         return self._expand(symbols[i:j])[skip : skip + stop - start]
 
 
-def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = BATCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, encoder: Encoder, end: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, ids with the end id after each text, how many each has), by runs of about `most` bytes."""
     texts = texts.fill_null("")
     at, _ = text_buffers(texts)
@@ -234,13 +247,18 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, kind: pa.DataT
 
     for batch in batches:
         for i, rows, got, n in encoded(batch.column("text"), encoder, end):
-            ids.append(got)
-            sizes.append(n)
-            names.append(batch.column("id").slice(i, rows))
-            held += len(got)
-            if held >= BLOCK:
-                yield flush()
-                ids, sizes, names, held, block = [], [], [], 0, block + 1
+            ends, k = np.cumsum(n), 0
+            while k < rows:
+                # as many documents as bring the block to its size
+                j = min(rows, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BLOCK - held)) + 1)
+                ids.append(got[ends[k - 1] if k else 0 : ends[j - 1]])
+                sizes.append(n[k:j])
+                names.append(batch.column("id").slice(i + k, j - k))
+                held += len(ids[-1])
+                k = j
+                if held >= BLOCK:
+                    yield flush()
+                    ids, sizes, names, held, block = [], [], [], 0, block + 1
     if held:
         yield flush()
 
