@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, star, unit_hash
+from .common import bounded, materialize, star, thrifty, unit_hash
 from .components import components
 
 THRESHOLD = 0.98
 #: Centres at most, vectors to fit them on at most, and cells that a vector is sent to at most in the mean of those:
 #: the number of centres is halved until it holds. (It costs time only: any number of centres finds all links.)
 CENTRES, SAMPLE, SENT = 4096, 65_536, 6
+#: Bytes of that sample in double precision, of all numbers of components together, at most.
+SAMPLE_BYTES = 64 << 20
 #: Vectors of a cell above which it is compared in blocks; blocks at most (they grow beyond that).
 BLOCK, BLOCKS = 1024, 64
 _SLACK = 1e-9
@@ -106,6 +108,11 @@ def cosines(q: np.ndarray, d: np.ndarray, threshold: float) -> np.ndarray:
     return near
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are."""
+    return column.to_numpy() if not pa.types.is_string(column.type) else column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Sorted rows of cell blocks, group by group: (nid, n, null) counts links, (nid, 0, other) is a link of a forest."""
     keys = ["label", "dim", "cell", "qb", "db"]
@@ -115,7 +122,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         asks, gives = (rows.column(c).to_numpy() for c in ("asks", "gives"))
         change = np.zeros(len(nid), bool)
         for c in keys:
-            col = rows.column(c).to_numpy()
+            col = _codes(rows.column(c))
             change[1:] |= col[1:] != col[:-1]
         starts = np.concatenate(([0], np.flatnonzero(change), [len(nid)]))
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
@@ -154,7 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             rows = pa.Table.from_batches(held)
             differ = np.zeros(len(rows), bool)
             for c in keys:
-                col = rows.column(c).to_numpy()
+                col = _codes(rows.column(c))
                 differ |= col != col[-1]
             at = np.flatnonzero(differ)
             if len(at):
@@ -175,6 +182,7 @@ def near_vectors(
     components link with nothing: n_links 0, component_id the own id. Repeated rows are rows of their own, linked with
     each other. Null ids never are a component's smallest; component_id is null only where all its ids are, and kept
     (id = component_id) then is true. No rows, no rows. Other columns are not read."""
+    bounded(df.sparkSession)
     v = F.col(vector_col)
     if not isinstance(df.schema[vector_col].dataType.elementType, T.FloatType):
         v = F.transform(v, lambda x: x.cast("double"))
@@ -186,8 +194,7 @@ def near_vectors(
     distinct = (
         keyed.where("sound")
         .groupBy("h1", "h2")
-        .agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("mult"), F.min("id").alias("least"))
-        .withColumn("label", F.xxhash64("label"))
+        .agg(F.first("label").cast("string").alias("label"), F.first("v").alias("v"), F.count("*").alias("mult"), F.min("id").alias("least"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
     distinct = materialize(distinct, "vectors")
@@ -195,7 +202,7 @@ def near_vectors(
     centres = _centres(distinct, radius, seed)
     dealt = materialize(
         distinct.select("nid", "label", "v", "mult").mapInArrow(
-            lambda batches: _deal(batches, centres, radius), f"nid long, label long, dim int, cell int, home boolean, mult long, v {vectors}"
+            thrifty(lambda batches: _deal(batches, centres, radius)), f"nid long, label string, dim int, cell int, home boolean, mult long, v {vectors}"
         ),
         "cells",
     )
@@ -220,7 +227,7 @@ def near_vectors(
         .repartition(*cell, "qb", "db")
         .sortWithinPartitions(*cell, "qb", "db", "nid")
     )
-    found = materialize(met.mapInArrow(lambda batches: _compare(batches, threshold), "nid long, n long, other long"), "links")
+    found = materialize(met.mapInArrow(thrifty(lambda batches: _compare(batches, threshold)), "nid long, n long, other long"), "links")
     counts = found.where("other is null").groupBy("nid").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("nid").alias("a"), F.col("other").alias("b")))
     named = distinct.select("nid", "h1", "h2", "mult", "least").join(roots.withColumnRenamed("node", "nid"), "nid", "left").join(counts, "nid", "left")
@@ -242,9 +249,11 @@ def _centres(distinct: DataFrame, radius: float, seed: int) -> dict[int, np.ndar
     """Centres for each number of components: the square root of the rows over four of them, or so many fewer that a
     vector of the sample goes to SENT cells in the mean; fitted on a sample of at most SAMPLE rows."""
     out = {}
-    for r in distinct.groupBy(F.size("v").alias("dim")).count().collect():
+    dims = distinct.groupBy(F.size("v").alias("dim")).count().collect()
+    for r in dims:
         k = int(min(CENTRES, max(1, round(r["count"] ** 0.5 / 4))))
-        most = min(SAMPLE, 64 * k)
+        most = max(1, min(SAMPLE, 64 * k, SAMPLE_BYTES // (8 * r["dim"] * len(dims))))
+        k = min(k, most)
         u = unit_hash(seed, F.col("h1"), F.col("h2"))
         some = distinct.where((F.size("v") == r["dim"]) & (u < 1.2 * most / r["count"])).select(u.alias("u"), "v").toArrow()
         order = np.argsort(some.column("u").to_numpy(), kind="stable")[:most]
