@@ -205,20 +205,24 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         ),
         "rests",
     )
-    histogram = np.zeros(window, np.int64)
-    fulls = 0
+    histogram, fulls = np.zeros(window, np.int64), np.zeros(window, np.int64)
     for r in docs.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect():
-        histogram[r["rest"]] = r["n"]
-        fulls += r["full"]
+        histogram[r["rest"]], fulls[r["rest"]] = r["n"], r["full"]
+    # a length's rows are numbered by groups, groups by heaps, and heaps in one go: a task sees a GROUP-th of a GROUP-th of them
     groups = F.lit([int(max(1, -(-n // GROUP))) for n in histogram])
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.get(groups, F.col("rest"))))
-    sums = salted.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
+    bases = F.lit([int(x) for x in np.cumsum(fulls) - fulls])
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64("part", "row"), F.get(groups, F.col("rest")))).withColumn("heap", F.floor(F.col("salt") / GROUP))
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select("rest", "salt", before(Window.partitionBy("rest").orderBy("salt"), "n").alias("n0"), before(Window.orderBy("rest", "salt"), "f").alias("f0"))
+    sums = salted.groupBy("rest", "heap", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
+    heaps, h = sums.groupBy("rest", "heap").agg(F.sum("n").alias("hn"), F.sum("f").alias("hf")), Window.partitionBy("rest").orderBy("heap")
+    heaps = heaps.select("rest", "heap", before(h, "hn").alias("hn"), (before(h, "hf") + F.get(bases, F.col("rest"))).alias("hf"))
+    g = Window.partitionBy("rest", "heap").orderBy("salt")
+    sums = sums.select("rest", "heap", "salt", before(g, "n").alias("n0"), before(g, "f").alias("f0")).join(heaps, ["rest", "heap"])
+    sums = sums.select("rest", "salt", (F.col("hn") + F.col("n0")).alias("n0"), (F.col("hf") + F.col("f0")).alias("f0"))
     w = Window.partitionBy("rest", "salt").orderBy("id", "part", "row")
-    ranked = salted.withColumns({"k": F.row_number().over(w), "f": before(w, "full")}).join(bases, ["rest", "salt"])
+    ranked = salted.withColumns({"k": F.row_number().over(w), "f": before(w, "full")}).join(sums, ["rest", "salt"])
     ranked = ranked.select("id", "tokens", "full", "rest", "crcs", "tail", (F.col("n0") + F.col("k") - 1).alias("rank"), (F.col("f0") + F.col("f")).alias("first"))
-    plan = Plan(histogram, window, fulls)
+    plan = Plan(histogram, window, int(fulls.sum()))
     return ranked.mapInArrow(
         thrifty(lambda b: _pieces(b, plan, width)), f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
