@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from .common import arrow_column, bounded
 
 WIDTH = 64
 #: zlib level, bytes of an IDAT chunk, most rows of an image's filter choice worked on at a time.
@@ -153,11 +154,11 @@ def with_media(df: DataFrame, text: Column, name: str = "media") -> DataFrame:
     """df with the PNG of a text's payload in the binary column `name` (replacing one of that name). Null is an empty
     text, whose payload is one row of zeros."""
 
-    @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         return pa.array((encode_png(padded(x.as_py())) for x in texts), pa.binary())
 
-    return df.withColumn(name, encode(text.cast("string")))
+    bounded(df.sparkSession)
+    return df.withColumn(name, arrow_column(encode, "binary")(text.cast("string")))
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, low_hash binary"
@@ -187,8 +188,4 @@ def features(media: Column) -> Column:
         + [("media_sha256", pa.string()), ("low_hash", pa.binary())]
     )
 
-    @F.arrow_udf(FEATURES)
-    def read(images: pa.Array) -> pa.Array:
-        return pa.array([of(x.as_py()) for x in images], kind)
-
-    return read(media)
+    return arrow_column(lambda images: pa.array([of(x.as_py()) for x in images], kind), FEATURES)(media)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table
+from .common import bounded, crc_mod, materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,8 +80,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import features, with_media
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = with_media(docs, F.col("text")).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), features(F.col("media")).alias("f"))
+    docs = read_table(bounded(spark), sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    # the images are a column of a table, and all that follows is read back from it
+    table = materialize(with_media(docs, F.col("text")).select("doc_id", n_bytes, "media"), "media", compression="none")
+    stored = table.select("doc_id", "n_bytes", features(F.col("media")).alias("f"))
     parts = [F.col(f"f.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
     return stored.select("doc_id", "n_bytes", *parts, F.lower(F.hex("f.low_hash")).alias("feature"), F.col("f.low_hash").alias("low_hash"))
 
@@ -167,7 +170,7 @@ WITH c AS (
 ), spans AS (SELECT * FROM (SELECT entry, add, ts AS since, lead(ts) OVER (PARTITION BY entry ORDER BY ts) AS until FROM flips) WHERE add
 ), keys AS (
   SELECT page_id, ts, domain AS entry, segment FROM (
-    SELECT page_id, ts, segment, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.'))) AS domain
+    SELECT page_id, ts, segment, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS domain
     FROM c WHERE host IS NOT NULL)
 ), asked AS (SELECT page_id, ts, entry FROM keys UNION ALL SELECT page_id, ts, entry || '/' || segment FROM keys WHERE segment IS NOT NULL
 ), hits AS (

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_column, bounded, materialize, thrifty
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +55,6 @@ def bands(found: np.ndarray) -> list[int]:
 def with_bands(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df and struct(key, bands) of text in the column `name`: key is the same for equal sets of shingles."""
 
-    @F.arrow_udf("key binary, bands array<long>")
     def sketch(texts: pa.Array) -> pa.Array:
         keys, found = [], []
         for x in texts:
@@ -64,7 +63,8 @@ def with_bands(df: DataFrame, text: Column, name: str) -> DataFrame:
             found.append(bands(own))
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
 
-    return df.withColumn(name, sketch(text.cast("string")))
+    bounded(df.sparkSession)
+    return df.withColumn(name, arrow_column(sketch, "key binary, bands array<long>")(text.cast("string")))
 
 
 def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -147,5 +147,5 @@ def near_sets(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     # as a table of known size, so that Spark need not move the texts where these are few
     clusters = materialize(components(materialize(shared, "candidates")), "clusters")
     dealt = rows.select("id", "text").join(clusters, F.col("id") == F.col("node")).select("root", "id", F.col("text").cast("string").alias("text"))
-    links = dealt.repartition("root").sortWithinPartitions("root").mapInArrow(_verified, "a long, b long")
+    links = dealt.repartition("root").sortWithinPartitions("root").mapInArrow(thrifty(_verified), "a long, b long")
     return components(materialize(links, "near-sets"))

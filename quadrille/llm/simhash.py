@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, star
+from .common import arrow_column, bounded, materialize, star, thrifty
 from .components import components
 
 SHINGLE = 4
@@ -59,11 +59,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def with_fingerprint(df: DataFrame, text: Column, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """df and the fingerprint of text, as a signed long, in the column `name` (which replaces one of that name)."""
 
-    @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array((fingerprint(x.as_py(), shingle, seed) for x in texts), pa.uint64()).view(pa.int64())
 
-    return df.withColumn(name, prints(text.cast("string")))
+    bounded(df.sparkSession)
+    return df.withColumn(name, arrow_column(prints, "long")(text.cast("string")))
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -224,7 +224,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
         .repartition("t", "k", "i", "j")
         .sortWithinPartitions("t", "k", "i", "j", "fp")
     )
-    return dealt.mapInArrow(lambda batches: _forest(batches, masks, radius), "a long, b long")
+    return dealt.mapInArrow(thrifty(lambda batches: _forest(batches, masks, radius)), "a long, b long")
 
 
 def near_duplicates(
