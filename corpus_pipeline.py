@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialize, read_table
+from quadrille.llm.common import bounded, free_names, materialize, read_table
 from quadrille.llm.langid import UNKNOWN, fit_languages, judged
 from quadrille.llm.mixing import mix
 from quadrille.llm.packing import pack
@@ -28,43 +28,47 @@ MARGIN, LIKE, LETTERS = 0.15, -1.5, 0.25
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches TOXIC; the labels of the corpus teach the model. Null texts stay."""
+    (score,) = free_names(docs, "score")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return docs.withColumn("__score", toxicity(model, F.col("text"))).where((F.col("__score") < TOXIC) | F.col("text").isNull()).drop("__score")
+    return docs.withColumn(score, toxicity(model, F.col("text"))).where((F.col(score) < TOXIC) | F.col("text").isNull()).drop(score)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or of few, those between languages (won by less than MARGIN), and those that are
     like none (likeness below LIKE). lang becomes what was predicted. Where no document has a label to learn from, only
     those without a letter go, and lang stays."""
+    (p,) = free_names(docs, "p")
     model = fit_languages(docs)
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = docs.withColumn("__p", judged(model, F.col("text"))).where(F.col("__p.lang") != UNKNOWN)
-    found = found.where((F.col("__p.margin") >= MARGIN) & (F.col("__p.likeness") >= LIKE) & (F.col("__p.letters") >= LETTERS))
-    return found.withColumn("lang", F.col("__p.lang")).drop("__p")
+    found = docs.withColumn(p, judged(model, F.col("text"))).where(F.col(p)["lang"] != UNKNOWN)
+    found = found.where((F.col(p)["margin"] >= MARGIN) & (F.col(p)["likeness"] >= LIKE) & (F.col(p)["letters"] >= LETTERS))
+    return found.withColumn("lang", F.col(p)["lang"]).drop(p)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-copies, those that Jaccard similarities of 0.8 or more between the sets of
     their five-word shingles connect: the smallest by (id, row). Null ids come last."""
-    rows = materialize(with_bands(docs.withColumn("__row", F.monotonically_increasing_id()), F.col("text"), "__sketch"), "pipeline-sketches")
+    row, sketch = free_names(docs, "row", "sketch")
+    rows = materialize(with_bands(docs.withColumn(row, F.monotonically_increasing_id()), F.col("text"), sketch), "pipeline-sketches")
     # rows of a set are reduced to their least before groups are formed, and groups to theirs after
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    least = materialize(rows.groupBy("__sketch.key").agg(F.min(order).alias("least"), F.first("__sketch.bands").alias("bands")), "pipeline-sets")
-    groups = near_sets(rows.select(F.col("__row").alias("id"), "text"), least.select(F.col("least.__row").alias("id"), "bands"))
-    named = least.join(groups, F.col("least.__row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.__row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))
+    least = materialize(rows.groupBy(F.col(sketch)["key"].alias("key")).agg(F.min(order).alias("least"), F.first(F.col(sketch)["bands"]).alias("bands")), "pipeline-sets")
+    groups = near_sets(rows.select(F.col(row).alias("id"), "text"), least.select(F.col("least.row").alias("id"), "bands"))
+    named = least.join(groups, F.col("least.row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.row"))
     kept = named.groupBy("root").agg(F.min("least").alias("least"))
     # what goes is a smaller table than what stays, and one of known size
-    gone = rows.select("__row").join(kept.select(F.col("least.__row").alias("__row")), "__row", "left_anti")
-    return rows.join(materialize(gone, "pipeline-gone"), "__row", "left_anti").drop("__row", "__sketch")
+    gone = rows.select(row).join(kept.select(F.col("least.row").alias(row)), row, "left_anti")
+    return rows.join(materialize(gone, "pipeline-gone"), row, "left_anti").drop(row, sketch)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it whole, and once more if it takes half of it or more besides. A
     document without words is not taken."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-mix")
-    took = mix(rows, id_col="__row").select(F.col("id").alias("__row"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("__n")).where("__n > 0")
-    return rows.join(took, "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__row", "__n")
+    row, n = free_names(docs, "row", "n")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-mix")
+    took = mix(rows, id_col=row).select(F.col("id").alias(row), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias(n)).where(F.col(n) > 0)
+    return rows.join(took, row).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ STAGES = [("toxicity", keep_clean), ("language", keep_languages), ("near-duplica
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each stage's result written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(bounded(spark), sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
