@@ -25,11 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or the checkpoint folder already set, or (only where
-    neither is set, as in tests) a new temporary folder."""
+    neither is set and all runs on this machine, as in tests) a new temporary folder."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     sc = spark.sparkContext
     if not (at := sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")

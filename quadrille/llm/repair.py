@@ -33,8 +33,8 @@ END = 2
 #: bytes, each replacement saves 4 at most; how many times lower each floor is than the one before;
 #: places are this many times those that a pass has changed where these wait for the next pass over all.
 BLOCK, LEAST, FACTOR, FEW = 1 << 20, 4, 4, 100
-#: Floor from which on pairs are counted by buckets before they are sorted.
-SORTED = 32
+#: Floor from which on few buckets do.
+FREQUENT = 100
 _MAGIC = b"QRP1"
 _NONE = np.iinfo(np.int32).max
 
@@ -87,9 +87,10 @@ def _sorted(a: np.ndarray, b: np.ndarray, at: np.ndarray, out: np.ndarray, n: in
     return key >> np.uint64(bits), key, np.uint64(bits)
 
 
-def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """One pass over the pairs that begin at the places `at`: (rules of the symbols n, n + 1, .., the sequence with them in
-    place, places of pairs that were taken or are new), or None if no pair occurs `floor` times."""
+def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """One pass over the pairs that begin at the places `at`: (rules of the symbols n, n + 1, .., how often each is
+    applied, the sequence with them in place, places of pairs that were taken or are new), or None if no pair occurs `floor` times. seq itself is
+    written over."""
     a, b = seq[at], seq[at + 1]
     # of a run of equal symbols every other pair counts; none counts that the end of a document is part of
     same = np.flatnonzero(a == b)
@@ -115,14 +116,14 @@ def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -
     there[taken + 1] = rank
     wins = (rank < there[taken]) & (rank < there[taken + 2])
     pos, rank = taken[wins], rank[wins]
-    kept = np.flatnonzero(np.bincount(rank, minlength=len(pick)) >= least)
+    times = np.bincount(rank, minlength=len(pick))
+    kept = np.flatnonzero(times >= least)
     symbol = np.zeros(len(pick), np.uint32)
     symbol[kept] = n + np.arange(len(kept))
     new = symbol[rank]
     pos, new = pos[new > 0], new[new > 0]
     keep = np.ones(len(seq), bool)
     keep[pos + 1] = False
-    seq = seq.copy()
     seq[pos] = new
     live = np.zeros(len(seq), bool)
     live[taken] = True
@@ -136,42 +137,47 @@ def _replaced(seq: np.ndarray, n: int, at: np.ndarray, least: int, floor: int) -
     pair = key[begin[pick[kept]]]
     width = np.uint64(n.bit_length())
     rules = np.stack((pair >> width, pair & np.uint64((1 << int(width)) - 1)), 1).astype(np.uint32)
-    return rules, seq, np.flatnonzero(live)
+    return rules, times[kept], seq, np.flatnonzero(live)
 
 
-def _places(seq: np.ndarray, n: int, floor: int) -> np.ndarray:
-    """Where pairs begin that may occur `floor` times: their symbols do, and so does the bucket that they are hashed to."""
-    often = np.bincount(seq, minlength=n) >= floor
+def _places(seq: np.ndarray, count: np.ndarray, floor: int) -> np.ndarray:
+    """Where pairs begin that may occur `floor` times: their symbols do (count: of each), and so does the bucket that they are
+    hashed to."""
+    often = count >= floor
     often[0] = False
     on = often[seq]
-    at = np.flatnonzero(on[:-1] & on[1:])
-    if floor < SORTED:
-        return at
-    bucket = seq[at] * np.uint32(0x9E3779B1)
-    bucket += seq[1:][at] * np.uint32(0x85EBCA77)
-    bucket >>= np.uint32(32 - 18)
-    return at[(np.bincount(bucket, minlength=1 << 18) >= floor)[bucket]]
+    on = on[:-1] & on[1:]
+    bucket = seq[:-1] * np.uint32(0x9E3779B1)
+    bucket += seq[1:] * np.uint32(0x85EBCA77)
+    # few buckets, where few pairs are that frequent
+    bucket >>= np.uint32(32 - (20 if floor < FREQUENT else 17))
+    on &= (np.bincount(bucket) >= floor)[bucket]
+    return np.flatnonzero(on)
 
 
 def grammar_of(seq: np.ndarray, n: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Symbols below n, 0 in no pair: the rules, pass by pass, and the sequence that is left, in which no pair occurs `least`
-    times. Floors go down to `least`; a pair that occurs so often consists of symbols that do. After a pass over all such places,
-    the pairs that it took and those that its symbols make are looked at again while any of them is as frequent (all others have
-    only become rarer); where these are few, the next pass over all has them, too."""
+    times. Floors go down to `least`. After a pass over all places of a floor, the pairs that it took and those that its symbols
+    make are looked at again while any of them is as frequent (all others have only become rarer); where these are few, the next
+    pass over all has them, too."""
     rules: list[np.ndarray] = []
-    floor = int(np.bincount(seq).max(initial=0))
-    while True:
+    count = np.bincount(seq, minlength=n)
+    floor = int(count[1:].max(initial=0))
+    while len(seq) > 1:
         floor = floor // FACTOR if floor >= FACTOR * FACTOR * least else least
-        done = _replaced(seq, n, _places(seq, n, floor), least, floor)
+        done = _replaced(seq, n, _places(seq, count, floor), least, floor)
         if done is None and floor == least:
-            return rules, seq
+            break
         while done is not None:
-            new, seq, live = done
+            new, times, seq, live = done
             rules.append(new)
             n += len(new)
+            np.subtract.at(count, new.ravel(), np.repeat(times, 2))
+            count = np.concatenate((count, times))
             if floor > least and len(live) < len(seq) // FEW:
                 break
             done = _replaced(seq, n, live, least, floor)
+    return rules, seq
 
 
 class Block:
