@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to Python.
 BATCH = 8 << 20
+#: Bits of a sieve, which is what is broadcast of a set of ids of any size.
+SIEVE = 1 << 25
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +98,24 @@ def thrifty(each):
     return run
 
 
+def sieve(ids: DataFrame, column: str) -> DataFrame:
+    """A table of SIEVE bits, 4 KB a row, in which that of each id's hash is set. Broadcast, it tells most rows whose id is not
+    among any number of ids without moving them; where ids are so many that most bits are set, it lets all pass."""
+    at = F.pmod(F.xxhash64(F.lit(11), F.col(column)), F.lit(SIEVE)) + 1
+    bits = ids.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return materialize(bits, "sieve")
+
+
+def sifted(rows: DataFrame, column: str, bits: DataFrame, passes: bool = True) -> DataFrame:
+    """The rows that a sieve lets pass (all whose id is in it, and few others), or those that it holds back."""
+    part, held = free_names(rows, "part", "bits")
+    at = F.pmod(F.xxhash64(F.lit(11), F.col(column)), F.lit(SIEVE)) + 1
+    met = rows.join(F.broadcast(bits.select(F.col("part").alias(part), F.col("bits").alias(held))), F.bitmap_bucket_number(at) == F.col(part), "inner" if passes else "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
+    return met.where(on if passes else ~F.coalesce(on, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def arrow_column(f, kind: str):
     """A user-defined function of one column from f, which maps an Arrow array to one as long, with give_back() at the end of a
     task."""

@@ -30,14 +30,13 @@ def components(links: DataFrame) -> DataFrame:
     """links: columns a and b of one orderable type; nulls and self-links count for nothing. Returns (node, root),
     root being the smallest node reachable, for every node that a link between different nodes touches, the roots
     themselves included. No links: no rows."""
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     now = materialize(links.select("a", "b").where("a <> b").transform(_small_star), "links")
-    mark = None
-    while True:
-        after = materialize(now.transform(_large_star).transform(_small_star), "links")
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        now = after
-        if tuple(new) == mark or not new[0]:
+    seen = mark(now)
+    while seen[0]:
+        now = materialize(now.transform(_large_star).transform(_small_star), "links")
+        if (new := mark(now)) == seen:
             break
-        mark = tuple(new)
+        seen = new
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_column, bounded, runs, text_buffers, thrifty, unit_hash
+from .common import arrow_column, bounded, give_back, runs, text_buffers, thrifty, unit_hash
 
 #: Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -267,7 +267,10 @@ def fit_languages(
     got = some.select("u", "lang", "text").mapInArrow(thrifty(count), "u double, lang string, at array<int>, n array<int>").toArrow().sort_by([("lang", "ascending"), ("u", "ascending")])
     arrays = [got.column(c).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n")]
     lists = [[x.values.to_numpy() for x in a] for a in arrays]
-    return LanguageModel.fit(list(zip(got.column("lang").to_pylist(), *lists, strict=True)), seed)
+    model = LanguageModel.fit(list(zip(got.column("lang").to_pylist(), *lists, strict=True)), seed)
+    del got, arrays, lists
+    give_back()
+    return model
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:

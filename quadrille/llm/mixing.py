@@ -180,7 +180,7 @@ def _inside() -> Column:
     return (r >= 0) & (r < F.col("r_width")) & (t >= 0) & (t < F.col("t_width"))
 
 
-def mix(
+def mixture(
     df: DataFrame,
     targets: dict | None = None,
     id_col: str = "doc_id",
@@ -189,22 +189,16 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     repeats: int = REPEATS,
     seed: int = 0,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Returns (id, size, source_size, target, taken, copies) for every row: its words, those of its source, the
-    source's target, and the words and whole copies that the mix takes of it.
-
-    source_col holds a source (null is one, the last) or an array of the sources that a row belongs to; null
-    elements and repetitions in an array count once, an empty array is the source null. For rows of several sources, source_size and target
-    are sums over them. Without targets (words by source), sources in code-point order weigh `weights`, repeating, and
-    share all words, each at most `repeats` times its size, the excess shared again. A row is taken whole some times,
-    at most `repeats`, but for one row of each pattern at most, taken in part. Equal rows and ids are told apart by
-    nothing, so which of them is taken in part is open, the multiset of results is not. Null and blank texts have no
-    words, and none are taken. Same rows, same seed: same result. At most PATTERNS sets of sources."""
+    """mix() with columns of df that go along: (row, size, source_size, target, taken, copies), row being a struct of id_col
+    and `keep`. Rows are written once, and not moved."""
     many = isinstance(df.schema[source_col].dataType, T.ArrayType)
     of = F.col(source_col).cast("array<string>") if many else F.array(F.col(source_col).cast("string"))
     of = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(of), F.lit(0)) > 0, of).otherwise(F.array(F.lit(None).cast("string")))))
-    rows = df.select(F.col(id_col).alias("id"), of.alias("sources"), word_count(F.col(text_col)).alias("size"), _tie(F.col(text_col)).alias("tie"))
-    rows = materialize(rows.select("id", "sources", "size", _rank(seed, "id").alias("rank"), "tie"), "sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, *keep))])
+    rows = df.select(row.alias("row"), of.alias("sources"), word_count(F.col(text_col)).alias("size"), _rank(seed, id_col).alias("rank"), _tie(F.col(text_col)).alias("tie"))
+    rows = materialize(rows, "sizes")
     sums = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
@@ -240,10 +234,34 @@ def mix(
     rest = told.where(~F.coalesce(_inside(), F.lit(False))).withColumn("extra", F.when(first, F.col("size")).otherwise(0))
     words = F.col("passes") * F.col("size") + F.col("extra")
     return rest.unionByName(edge).select(
-        "id",
+        "row",
         "size",
         "source_size",
         "target",
         words.cast("long").alias("taken"),
         F.when(F.col("size") > 0, F.floor(words / F.col("size"))).otherwise(0).cast("int").alias("copies"),
     )
+
+
+def mix(
+    df: DataFrame,
+    targets: dict | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    repeats: int = REPEATS,
+    seed: int = 0,
+) -> DataFrame:
+    """Returns (id, size, source_size, target, taken, copies) for every row: its words, those of its source, the
+    source's target, and the words and whole copies that the mix takes of it.
+
+    source_col holds a source (null is one, the last) or an array of the sources that a row belongs to; null
+    elements and repetitions in an array count once, an empty array is the source null. For rows of several sources, source_size and target
+    are sums over them. Without targets (words by source), sources in code-point order weigh `weights`, repeating, and
+    share all words, each at most `repeats` times its size, the excess shared again. A row is taken whole some times,
+    at most `repeats`, but for one row of each pattern at most, taken in part. Equal rows and ids are told apart by
+    nothing, so which of them is taken in part is open, the multiset of results is not. Null and blank texts have no
+    words, and none are taken. Same rows, same seed: same result. At most PATTERNS sets of sources."""
+    rows = mixture(df, targets, id_col, text_col, source_col, weights, repeats, seed)
+    return rows.select(F.col("row")[id_col].alias("id"), "size", "source_size", "target", "taken", "copies")

@@ -1,8 +1,12 @@
 """Near-copies by the Jaccard similarity of word shingles.
 
-Min-wise hashes in bands bring texts together: two of similarity 0.8 agree in none of 28 bands of 5 hashes in one case
-of 65,000, more similar ones less often. What bands connect is a cluster of candidates, and within a cluster links are
-exact: rare shingles first, a text meets those that share one of so many as it could lack, and their sets are counted.
+Candidates come from two kinds of buckets. SimHash fingerprints of the shingles, compared bit-sliced (simhash.py), bring
+together what differs in a few bits; but texts of similarity 0.8 lie about ten bits apart, which no radius of such a search
+reaches, so min-wise hashes in bands bring together the rest: two texts of similarity 0.8 agree in none of 28 bands of 5
+hashes in one case of 65,000, more similar ones less often. Within buckets links are exact, from the sets themselves, and so that
+a bucket with a third of all texts is no task's and makes no pairs: each text first meets the least of its
+bucket; buckets whose texts then are all connected, as copies of one text are, are done. In others the few texts apart from the main
+group meet all of it, and where they are not few, blocks of texts meet blocks, by tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, bounded, materialize, thrifty
+from .common import arrow_column, bounded, materialize, sieve, sifted, thrifty
 from .components import components
+from .simhash import majority, near_links
 
 SHINGLE = 5
 #: Texts are near-copies from this similarity on, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 28, 5
+#: Texts of a bucket apart from its main group that meet it one by one; texts of a block where they are more.
+FEW, BLOCK = 16, 500
 _SEED = 42
 _rng = np.random.default_rng(_SEED)
 _XOR, _TIMES = _rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -53,18 +60,21 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def with_bands(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """df and struct(key, bands) of text in the column `name`: key is the same for equal sets of shingles."""
+    """df and struct(key, fp, bands) of text in the column `name`: key is the same for equal sets of shingles, fp their SimHash
+    fingerprint as a signed long."""
 
     def sketch(texts: pa.Array) -> pa.Array:
-        keys, found = [], []
+        keys, prints, found = [], [], []
         for x in texts:
             own = shingles(x.as_py())
             keys.append(xxhash.xxh128_digest(own.tobytes(), _SEED))
+            prints.append(majority(own))
             found.append(bands(own))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
+        columns = [pa.array(keys, pa.binary()), pa.array(prints, pa.uint64()).view(pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["key", "fp", "bands"])
 
     bounded(df.sparkSession)
-    return df.withColumn(name, arrow_column(sketch, "key binary, bands array<long>")(text.cast("string")))
+    return df.withColumn(name, arrow_column(sketch, "key binary, fp long, bands array<long>")(text.cast("string")))
 
 
 def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -118,34 +128,101 @@ def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, id, text), sorted by root: links within each root's rows."""
-    root, ids, sets = None, [], []
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y) the pairs a, b whose texts x and y are near-copies. A text that many meet is cut into shingles once."""
+    over, under = SIMILAR
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        hit = []
+        for i, x, y in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            if i not in held:
+                if len(held) >= 64:
+                    held.pop(next(iter(held)))
+                held[i] = shingles(y.as_py())
+            own, other = shingles(x.as_py()), held[i]
+            shared = len(np.intersect1d(own, other, assume_unique=True))
+            hit.append(under * shared >= over * (len(own) + len(other) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+
+def _met(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that are near-copies."""
+    pairs = materialize(pairs, "pairs")
+    both = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(pairs, "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(thrifty(_similar), "a long, b long"), "near-pairs")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, i, j, id, text), sorted: links between the texts of each (root, i, j)."""
+    group, ids, sets = None, [], []
 
     def done() -> pa.RecordBatch:
         links = spanning(sets) if len(sets) > 1 else []
         return pa.record_batch({c: pa.array([ids[x[k]] for x in links], pa.int64()) for k, c in enumerate("ab")})
 
     for batch in batches:
-        for r, i, text in zip(*(batch.column(c) for c in ("root", "id", "text")), strict=True):
-            if root is not None and r.as_py() != root:
+        for *own, i, text in zip(*(batch.column(c) for c in ("root", "i", "j", "id", "text")), strict=True):
+            own = [x.as_py() for x in own]
+            if group is not None and own != group:
                 yield done()
                 ids, sets = [], []
-            root = r.as_py()
+            group = own
             ids.append(i.as_py())
             sets.append(shingles(text.as_py()))
     if ids:
         yield done()
 
 
+def _in_blocks(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Links within what buckets (k, id) connect, by blocks: each two texts of such a group are in some task together."""
+    low = members.groupBy("k").agg(F.min("id").alias("b"))
+    clusters = components(materialize(members.join(low, "k").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "clusters"))
+    n = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int")
+    with_others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    # a block meets itself where it meets the first other one
+    pairs = F.when(F.col("n") == 1, with_others).otherwise(F.filter(with_others, lambda p: p["i"] != p["j"]))
+    dealt = clusters.join(n, "root").select("root", "n", F.col("node").alias("id")).withColumn("mine", mine).select("root", "id", F.explode(pairs).alias("p"))
+    dealt = dealt.select("root", "p.i", "p.j", "id").join(texts, "id").select("root", "i", "j", "id", "text")
+    keys = ["root", "i", "j"]
+    return materialize(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(thrifty(_blocks), "a long, b long"), "near-sets")
+
+
 def near_sets(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, root) of the texts that near-copies connect, as components() gives them. rows: (id, text), ids distinct;
-    sketches: (id, bands) of those to compare. The texts of a cluster of candidates are held by one task."""
-    keys = sketches.select("id", F.explode("bands").alias("b"))
-    low = keys.groupBy("b").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(low, "b").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    # as a table of known size, so that Spark need not move the texts where these are few
-    clusters = materialize(components(materialize(shared, "candidates")), "clusters")
-    dealt = rows.select("id", "text").join(clusters, F.col("id") == F.col("node")).select("root", "id", F.col("text").cast("string").alias("text"))
-    links = dealt.repartition("root").sortWithinPartitions("root").mapInArrow(thrifty(_verified), "a long, b long")
-    return components(materialize(links, "near-sets"))
+    sketches: (id, fp, bands) of those to compare."""
+    prints = materialize(sketches.select("fp").distinct(), "prints")
+    groups = components(materialize(near_links(prints), "near"))
+    grouped = sketches.select("id", "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("id", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("k"))
+    keys = sketches.select("id", F.explode("bands").alias("k")).unionByName(grouped)
+    low = keys.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1")
+    keys = materialize(keys.join(low, "k").select("k", "id", "low", "size"), "buckets")
+    pairs = materialize(keys.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
+    # whoever is in a bucket of several; the texts of all others are not looked at again, nor moved
+    some = keys.select("id").distinct()
+    if some.isEmpty():
+        return components(pairs)
+    texts = sifted(rows.select("id", F.col("text").cast("string").alias("text")), "id", sieve(some, "id")).join(some, "id", "left_semi")
+    texts = materialize(texts, "candidate-texts")
+    links = _met(texts, pairs.groupBy("a").agg(F.min("b").alias("b")))
+    found = components(links)
+    roots = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = pairs.join(links, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left")
+    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(_met(texts, apart))
+    # what is left: buckets of three or more whose texts are not all connected
+    found = materialize(components(links), "found")
+    placed = keys.where("size > 2").join(found, F.col("id") == F.col("node"), "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))
+    placed = materialize(placed, "placed")
+    kinds = placed.groupBy("k", "size", "root").agg(F.count("*").alias("n")).groupBy("k", "size").agg(F.max("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    mixed = placed.drop("size").join(kinds.where("n < size").select("k", "main", (F.col("size") - F.col("n")).alias("others")), "k")
+    mixed = materialize(mixed, "mixed")
+    if mixed.isEmpty():
+        return components(links)
+    few = mixed.where(F.col("others") <= FEW)
+    lone = few.where("root <> main").select("k", F.col("id").alias("x"), F.col("root").alias("x_root"))
+    meets = few.join(lone, "k").where("root <> x_root").select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+    links = links.unionByName(_met(texts, meets.join(pairs, ["a", "b"], "left_anti")))
+    links = links.unionByName(_in_blocks(texts, mixed.where(F.col("others") > FEW).select("k", "id")))
+    return components(links)

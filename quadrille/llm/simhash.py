@@ -56,6 +56,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that are set in over half of them; zero for none."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
+
+
 def with_fingerprint(df: DataFrame, text: Column, name: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """df and the fingerprint of text, as a signed long, in the column `name` (which replaces one of that name)."""
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, bounded, runs, spread, text_buffers, unit_hash
+from .common import arrow_column, bounded, give_back, runs, spread, text_buffers, unit_hash
 
 #: Buckets of n-grams, their lengths in bytes, components of an embedding.
 BUCKETS, GRAMS, DIM = 1 << 16, (3, 4, 5, 6), 8
@@ -325,7 +325,10 @@ def fit_toxicity(
     picked = docs.sparkSession.createDataFrame(rows.take(pa.array(chosen, pa.int64())).select(["id", "h"]).append_column("nth", pa.array(range(len(chosen)), pa.int32())))
     got = texts.join(F.broadcast(picked), ["id", "h"]).groupBy("nth").agg(F.first("text").alias("text")).toArrow().sort_by("nth")
     at = got.column("nth").to_numpy()
-    return fit(got.column("text").to_pylist(), y[np.array(chosen, np.int64)][at].astype(np.int64), n.get(1, 0) / sum(n.values()), seed=seed)
+    model = fit(got.column("text").to_pylist(), y[np.array(chosen, np.int64)][at].astype(np.int64), n.get(1, 0) / sum(n.values()), seed=seed)
+    del got, rows
+    give_back()
+    return model
 
 
 def toxicity(model: ToxicityModel, text: Column) -> Column:

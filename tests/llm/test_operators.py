@@ -702,3 +702,198 @@ def test_encoder_forgets(library, monkeypatch):
     encoder = tokens.Encoder(TOKENIZER)
     for text in ["one two three four five six", "one two", "seven. eight, nine\nten"] * 2:
         assert encoder.encode([text])[0].tolist() == library(text)
+
+
+# ---- near-copies in hot buckets
+
+
+@pytest.mark.parametrize("few, block", [(16, 500), (0, 7), (3, 7)])
+def test_near_sets_of_hot_buckets(spark, monkeypatch, few, block):
+    """Groups of which many are copies, some are copies of copies, and some only look alike: what brute force connects."""
+    from quadrille.llm import shingles
+
+    monkeypatch.setattr(shingles, "FEW", few)
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        base = words(rng, 100).split()
+        now = base
+        for i in range(30):
+            v = list(base if i % 3 else now)
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 4])):
+                v[rng.randrange(len(v))] = f"w{rng.randrange(10**6)}"
+            now = v
+            texts.append(" ".join(v))
+    texts += [words(rng, 80) for _ in range(20)] + [None, "", "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    kept = shingles.with_bands(df, F.col("text"), "s").groupBy("s.key").agg(F.min("id").alias("id"), F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands"))
+    ids = sorted(r["id"] for r in kept.select("id").collect())
+    got = {r["node"]: r["root"] for r in shingles.near_sets(df, kept.select("id", "fp", "bands")).collect()}
+    near = {(a, b) for a in ids for b in ids if b < a and texts[a] and texts[b] and jaccard(texts[a], texts[b]) >= 0.8}
+    want = groups(ids, lambda a, b: (ids[a], ids[b]) in near)
+    assert [got.get(i, i) for i in ids] == want and len(set(want)) > 30 and len(ids) - len(set(want)) > 30
+
+
+# ---- rows that are told apart by little, and columns of any name
+
+
+def test_mixing_patterns_with_nulls(spark):
+    """Arrays that differ by a null alone are patterns of their own, and no row is doubled."""
+    rows = [(1, "a b c", ["x"]), (2, "d e", ["x", None]), (3, "f", [None, "x"]), (4, "g h", [None]), (5, "i", []), (6, "j k", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), targets={"x": 4, None: 3}).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 4, 5, 6]
+    by = {r["id"]: r for r in got}
+    assert by[1]["target"] == 4 and by[2]["target"] == by[3]["target"] == 7 and by[4]["target"] == by[5]["target"] == 3
+    assert by[2]["source_size"] == by[3]["source_size"] and sum(r["taken"] for r in got) == 7
+
+
+def test_mixing_rows_of_one_id(spark, monkeypatch):
+    """Rows that share an id are cut by text, then by place, in steps; the words taken still add up."""
+    monkeypatch.setattr(mixing, "FEW", 3)
+    df = spark.range(0, 500, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("w"), (F.col("id") % 90).cast("string")).alias("text"), F.when(F.col("id") < 90, "p").otherwise("q").alias("source"))
+    got = mixing.mix(df).collect()
+    assert len(got) == 500 and {round(t): sum(r["taken"] for r in got if round(r["target"]) == round(t)) for t in {r["target"] for r in got}} == {333: 333, 667: 667}
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_route_is_least_cost():
+    """Flows against all ways to take whole words of small patterns."""
+    from itertools import product
+
+    rng = random.Random(8)
+    for _ in range(40):
+        patterns = [(p, rng.randint(1, 2)) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")], 3)]
+        targets = {s: rng.randint(0, 4) for s in "abc"}
+        flow = mixing.route(patterns, targets, 2)
+        out = [sum(f.values()) for f in flow]
+        into = {s: sum(f.get(s, 0) for f in flow) for s in "abc"}
+        assert all(into[s] <= targets[s] for s in "abc") and all(x <= 2 * w for x, (_, w) in zip(out, patterns, strict=True))
+        cost = sum(max(0, x - w) for x, (_, w) in zip(out, patterns, strict=True))
+        best = None
+        for split in product(*[[c for c in product(*[range(2 * w + 1) for _ in p]) if sum(c) <= 2 * w] for p, w in patterns]):
+            got = Counter()
+            for (p, _), c in zip(patterns, split, strict=True):
+                got.update(dict(zip(p, c, strict=True)))
+            if all(got[s] <= targets[s] for s in "abc"):
+                key = (-sum(got.values()), sum(max(0, sum(c) - w) for (_, w), c in zip(patterns, split, strict=True)))
+                best = key if best is None else min(best, key)
+        assert best == (-sum(out), cost)
+
+
+def test_sharding_clashes(spark):
+    """Columns of the operator's own names stay what they are."""
+    df = spark.range(20).select("id", F.lit("a").alias("__slot"), F.lit("b").alias("slot_"), F.lit("c").alias("Slot"), F.lit("d").alias("shard__"))
+    out = sharding.place(df, F.col("id"), ("x", "y"), 11, ("at", "of"))
+    assert out.columns == ["id", "__slot", "slot_", "Slot", "shard__", "at", "of"]
+    assert {tuple(r)[1:5] for r in out.collect()} == {("a", "b", "c", "d")} and out.count() == 20
+
+
+def test_languages_of_one_id(spark, monkeypatch):
+    """Rows that share an id, or the text too, teach like any others, and no more than a bounded number of them is taken."""
+    rng = random.Random(3)
+    texts = [(words(rng, 20, "abcdeft"), "en") for _ in range(60)] + [(words(rng, 20, "ghijklt"), "de") for _ in range(60)]
+    for same in (None, 7):
+        df = spark.createDataFrame([(same, t, lang) for t, lang in texts] + [(same, "abc def", "en")] * 500, "doc_id long, text string, lang string")
+        taken = []
+        plain = langid.LanguageModel.fit
+        monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, rows, seed=0: taken.append(len(rows)) or plain(rows, seed)))
+        model = langid.fit_languages(df, per_lang=25)
+        monkeypatch.undo()
+        assert taken == [50]
+        lang, _ = model.predict(pa.array([words(rng, 20, "abcdeft"), words(rng, 20, "ghijklt"), "abc def"]))
+        assert lang.tolist() == ["en", "de", "en"]
+
+
+def test_languages_held_out(spark):
+    """Accuracy on the test tables' rows that taught nothing."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    from quadrille.llm.queries import QUERIES
+
+    said = QUERIES["op1_langid"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    got = said.where("held_out and lang is not null and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert got[1] > 100 and got[0] > 0.97
+
+
+def test_toxicity_of_one_id(spark, monkeypatch):
+    """An id that occurs many times teaches once, and what reaches the driver is bounded in rows and bytes."""
+    rng = random.Random(5)
+    rows = [(i, words(rng, 20, "aehinorst") + (" idiotic scumbag" if i % 3 == 0 else "")) for i in range(90)]
+    rows += [(3, f"text {k}") for k in range(300)] + [(6, rows[6][1])] * 300 + [(9, "x" * 9000)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, share, **more: taken.append((texts, y.tolist(), share)))
+    toxicity.fit_toxicity(docs_, labels)
+    texts, y, share = taken[0]
+    assert len(texts) == 90 and sum(y) == 30 and share == 1 / 3 and Counter(texts).most_common(1)[0][1] == 1
+    toxicity.fit_toxicity(docs_, labels, per_class=5)
+    assert sorted(taken[1][1]) == [0] * 10 + [1] * 5
+    toxicity.fit_toxicity(docs_, labels, text_bytes=2000)
+    assert sum(len(t) for t in taken[2][0]) <= 2000 and max(map(len, taken[2][0])) <= 250
+
+
+def test_low_frequencies():
+    """The hash against a cosine transform written out, on images that need no resizing."""
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        image = rng.integers(0, 256, (32, 32)).astype(np.uint8)
+        low = np.zeros((8, 8))
+        for u in range(8):
+            for v in range(8):
+                total = sum(float(image[y, x]) * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32))
+                low[u, v] = total * np.sqrt((1 if u == 0 else 2) / 32) * np.sqrt((1 if v == 0 else 2) / 32)
+        flat = np.round(low.ravel(), 6)
+        assert media.low_frequency_hash(image) == np.packbits(flat > np.median(flat[1:])).tobytes()
+
+
+def test_packing_solver():
+    """Repeat counts against non-negative least squares by an active set, on a window that has few combinations."""
+    rng = np.random.default_rng(7)
+    window = 12
+    combos = packing.combinations(window)
+    a = np.stack([np.bincount(c[c > 0], minlength=window) for c in combos], 1).astype(float)[1:]
+    for _ in range(5):
+        histogram = np.concatenate(([0], rng.integers(50, 2000, window - 1)))
+        b = histogram[1:].astype(float)
+        x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+        while True:
+            gradient = a.T @ (b - a @ x)
+            j = int(np.argmax(np.where(on, -np.inf, gradient)))
+            if on.all() or gradient[j] < 1e-7:
+                break
+            on[j] = True
+            while True:
+                z = np.zeros_like(x)
+                z[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+                if (z[on] > 0).all():
+                    break
+                low = on & (z <= 0)
+                x += (x[low] / (x[low] - z[low])).min() * (z - x)
+                on &= x > 1e-9
+                x[~on] = 0
+            x = z
+        used = np.zeros(window)
+        for c, n in zip(*packing.solve(histogram, window), strict=True):
+            used += n * np.bincount(c[c > 0], minlength=window)
+        # in tokens, at most one in a hundred more is left over, to be packed end to end
+        length = np.arange(1, window)
+        assert (used[1:] <= b).all() and ((b - used[1:]) * length).sum() <= (np.maximum(0, b - a @ x) * length).sum() + 0.01 * (b * length).sum()
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns beside those of documents, whatever their names, go along."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["score", "p", "row", "sketch", "n", "__row", "__n", "__score", "__p", "id", "least", "root", "node", "fp", "size", "pattern"]
+    df = spark.createDataFrame([(i, words(rng, 30), "en", f"s{i % 2}", 0) for i in range(12)], SCHEMA).withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert sorted(out.columns) == sorted(df.columns), name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in names), name
