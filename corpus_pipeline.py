@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bounded, free_names, materialize, read_table
+from quadrille.llm.common import bounded, free_names, materialize, read_table, sieve, sifted
 from quadrille.llm.langid import UNKNOWN, fit_languages, judged
-from quadrille.llm.mixing import mix
+from quadrille.llm.mixing import mixture
 from quadrille.llm.packing import pack
 from quadrille.llm.shingles import near_sets, with_bands
 from quadrille.llm.toxicity import fit_toxicity, toxicity
@@ -48,27 +48,29 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-copies, those that Jaccard similarities of 0.8 or more between the sets of
-    their five-word shingles connect: the smallest by (id, row). Null ids come last."""
+    their five-word shingles connect: the smallest by (id, row). Null ids come last. SimHash and min-wise bands find the candidates."""
     row, sketch = free_names(docs, "row", "sketch")
     rows = materialize(with_bands(docs.withColumn(row, F.monotonically_increasing_id()), F.col("text"), sketch), "pipeline-sketches")
     # rows of a set are reduced to their least before groups are formed, and groups to theirs after
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))
-    least = materialize(rows.groupBy(F.col(sketch)["key"].alias("key")).agg(F.min(order).alias("least"), F.first(F.col(sketch)["bands"]).alias("bands")), "pipeline-sets")
-    groups = near_sets(rows.select(F.col(row).alias("id"), "text"), least.select(F.col("least.row").alias("id"), "bands"))
+    sets = rows.groupBy(F.col(sketch)["key"].alias("key"))
+    least = materialize(sets.agg(F.min(order).alias("least"), F.first(F.col(sketch)["fp"]).alias("fp"), F.first(F.col(sketch)["bands"]).alias("bands")), "pipeline-sets")
+    groups = near_sets(rows.select(F.col(row).alias("id"), "text"), least.select(F.col("least.row").alias("id"), "fp", "bands"))
     named = least.join(groups, F.col("least.row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "least.row"))
     kept = named.groupBy("root").agg(F.min("least").alias("least"))
-    # what goes is a smaller table than what stays, and one of known size
-    gone = rows.select(row).join(kept.select(F.col("least.row").alias(row)), row, "left_anti")
-    return rows.join(materialize(gone, "pipeline-gone"), row, "left_anti").drop(row, sketch)
+    # what goes is a smaller table than what stays, and of what stays only the few rows that a sieve takes for it are moved
+    gone = materialize(rows.select(row).join(kept.select(F.col("least.row").alias(row)), row, "left_anti"), "pipeline-gone")
+    bits = sieve(gone, row)
+    stays = sifted(rows, row, bits, False).unionByName(sifted(rows, row, bits).join(gone, row, "left_anti"))
+    return stays.drop(row, sketch)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it whole, and once more if it takes half of it or more besides. A
     document without words is not taken."""
-    row, n = free_names(docs, "row", "n")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-mix")
-    took = mix(rows, id_col=row).select(F.col("id").alias(row), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias(n)).where(F.col(n) > 0)
-    return rows.join(took, row).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)
+    rows = mixture(docs, keep=tuple(docs.columns))
+    times = F.coalesce(F.floor(F.try_divide("taken", "size") + 0.5), F.lit(0)).cast("int")
+    return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
