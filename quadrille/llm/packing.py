@@ -45,9 +45,9 @@ def combinations(window: int) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
 
 
-def _solve(free: np.ndarray, combos: np.ndarray, steps: int) -> np.ndarray:
-    """How often each combination is used, rounded down so that no length is used more often than free has it; what is
-    used is taken from free."""
+def relaxed(free: np.ndarray, combos: np.ndarray, steps: int) -> np.ndarray:
+    """Non-negative uses of the combinations for which the squares of what is left of free, or lacking, are least: by coordinate
+    descent, the step that gains most first, until none is half a use or `steps` are done."""
     left = free.astype(np.float64)
     left[0] = 0
     a, b, c = combos.T
@@ -62,6 +62,13 @@ def _solve(free: np.ndarray, combos: np.ndarray, steps: int) -> np.ndarray:
         for x in combos[j]:
             if x:
                 left[x] -= step[j]
+    return uses
+
+
+def _solve(free: np.ndarray, combos: np.ndarray, steps: int) -> np.ndarray:
+    """How often each combination is used, rounded down so that no length is used more often than free has it; what is
+    used is taken from free."""
+    uses = relaxed(free, combos, steps)
     counts = np.zeros(len(combos), np.int64)
     picked = np.flatnonzero(uses >= 1)
     for j in picked[np.argsort(-uses[picked], kind="stable")]:

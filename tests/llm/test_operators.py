@@ -876,12 +876,8 @@ def test_packing_solver():
                 on &= x > 1e-9
                 x[~on] = 0
             x = z
-        used = np.zeros(window)
-        for c, n in zip(*packing.solve(histogram, window), strict=True):
-            used += n * np.bincount(c[c > 0], minlength=window)
-        # in tokens, at most one in a hundred more is left over, to be packed end to end
-        length = np.arange(1, window)
-        assert (used[1:] <= b).all() and ((b - used[1:]) * length).sum() <= (np.maximum(0, b - a @ x) * length).sum() + 0.01 * (b * length).sum()
+        ours = np.linalg.norm(b - a @ packing.relaxed(histogram, combos, packing.STEPS))
+        assert ours <= 1.01 * np.linalg.norm(b - a @ x) + 0.005 * np.linalg.norm(b)  # steps end at half a use
 
 
 def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
