@@ -2,4 +2,10 @@ import sys
 
 from .plans.cli import main
 
-sys.exit(main(sys.argv[1:]))
+
+def run() -> None:
+    sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

@@ -9,11 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pattern(regex: str) -> str:
-    """An ECMAScript regular expression (flag u, no m) for the JVM: $ is the very end, \\/ a slash, [^] any character."""
+def pattern(regex: str, before: int = 0) -> str:
+    """An ECMAScript regular expression (flag u, no m) for the JVM: $ is the very end, \\/ a slash, [^] any character. before: how
+    many groups will stand in front of it, for back-references by number."""
     out, i, inside = [], 0, False
     while i < len(regex):
         c = regex[i]
+        if not inside and (m := re.match(r"\\([1-9][0-9]*)", regex[i:])):
+            out.append(f"(?:\\{int(m[1]) + before})")
+            i += len(m[0])
+            continue
         if c == "\\" and i + 1 < len(regex):
             out.append(regex[i + 1] if regex[i + 1] == "/" else regex[i : i + 2])
             i += 2
@@ -51,8 +56,6 @@ def group(value: Column, regex: str, n: int) -> Column:
 
 def js_replace(value: Column, regex: str, replacement: str) -> Column:
     """The first match replaced; $1.. are groups, $& the match, $$ a dollar; other dollars stand for themselves."""
-    if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", regex):
-        raise ValueError("back-references are not supported in replacements' patterns")
     groups = group_count(regex)
     out, i = [], 0
     while i < len(replacement):
@@ -75,7 +78,7 @@ def js_replace(value: Column, regex: str, replacement: str) -> Column:
         else:
             out.append(c)
             i += 1
-    whole = rf"\A([\s\S]*?)({pattern(regex)})([\s\S]*)\z"
+    whole = rf"\A([\s\S]*?)({pattern(regex, 2)})([\s\S]*)\z"
     middle = "".join(out)
     return F.regexp_replace(value, F.lit(whole), F.lit("$1" + ("\\" if middle[:1].isdigit() else "") + middle + f"${groups + 3}"))
 

@@ -10,13 +10,44 @@ from ..plans.storage import materialize
 
 def owners(links: DataFrame, edges: DataFrame) -> DataFrame:
     """links (b, key): key reaches b at once; edges (a, b): who reaches a reaches b. Returns the distinct (b, key) of all
-    that is reached. Each round extends only what the last one found, and its result is written to the shared folder;
-    rounds are as many as the longest chain is long, and cycles end."""
+    that is reached; cycles end.
+
+    A blank node that only one other names, and no key, has that one's owners. Such chains (lists, nested values) are cut
+    short by pointers that double their reach each round, so that rounds grow with the logarithm of the longest chain. What is left,
+    blank nodes that several name, is followed step by step from the keys on, each round extending what the last one found."""
+    known = materialize(links.select("b", "key").distinct(), "owners")
     edges = edges.select("a", "b").where("a <> b").distinct()
-    known = frontier = materialize(links.select("b", "key").distinct(), "owners")
     if edges.isEmpty():
         return known
     edges = materialize(edges, "edges")
+    direct = known.select("b").distinct()
+    single = edges.groupBy("b").agg(F.min("a").alias("up"), F.count("*").alias("n")).where("n = 1").select("b", "up").join(direct, "b", "left_anti")
+    single, n = _shortened(materialize(single, "chains"))
+    # on the blank nodes that end a chain; those below a cycle of single ones have no owner
+    ends = single.select(F.col("b").alias("a"), "up")
+    rest = edges.join(single.select("b"), "b", "left_anti") if n else edges
+    rest = rest.join(ends, "a", "left").select(F.coalesce("up", "a").alias("a"), "b").where("a <> b").distinct() if n else rest
+    rest = materialize(rest, "edges")
+    found = known if rest.isEmpty() else _followed(known, rest)
+    if not n:
+        return found
+    below = single.join(found.withColumnRenamed("b", "up"), "up").select("b", "key")
+    return found.unionByName(below)
+
+
+def _shortened(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """(b, up) with up the first node above b that has no pointer, and how many there are. Those that lead into a cycle go."""
+    n = pointers.count()
+    for _ in range(n.bit_length() + 1):
+        above = pointers.select(F.col("b").alias("up"), F.col("up").alias("top"))
+        if not n or pointers.join(above, "up", "left_semi").isEmpty():
+            return pointers, n
+        pointers = materialize(pointers.join(above, "up", "left").select("b", F.coalesce("top", "up").alias("up")), "chains")
+    return pointers.join(pointers.select(F.col("b").alias("up")), "up", "left_anti").select("b", "up"), n
+
+
+def _followed(known: DataFrame, edges: DataFrame) -> DataFrame:
+    frontier = known
     while True:
         found = frontier.withColumnRenamed("b", "a").join(edges, "a").select("b", "key").distinct()
         frontier = materialize(found.join(known, ["b", "key"], "left_anti"), "owners")

@@ -19,6 +19,12 @@ def fail(condition: Column, message: Column, value: Column) -> Column:
     return F.when(condition, F.raise_error(message).cast("string")).otherwise(value)
 
 
+def iri_key(c: str, kind: str = "iri") -> Column:
+    """What to join the terms of a kind in column c by. Others have keys that no term has, and each its own, so that an outer join
+    does not deal all literals to one task."""
+    return F.when(F.col(f"{c}.kind") == kind, F.col(f"{c}.value")).otherwise(F.concat(F.lit("\0"), F.xxhash64("seq").cast("string")))
+
+
 def resources(df: DataFrame, type_regex: str, target_regex: str, id_regex: str | None = None) -> DataFrame:
     """(iri, type, since, id, id_seq, target, target_seq, done) for each resource; done is null while it is incomplete.
     Reading the row of a resource with a second identifier or target before it is complete, or with a target that is no
@@ -62,7 +68,7 @@ def rename(df: DataFrame, renames: DataFrame, strict: bool = True, allowed: str
     out = df
     for c in "so":
         names = renames.select(F.col("iri").alias(f"__{c}"), F.col("since").alias(f"__{c}_since"), F.col("done").alias(f"__{c}_done"), F.col("new").alias(f"__{c}_new"))
-        out = out.join(names, F.when(F.col(f"{c}.kind") == "iri", F.col(f"{c}.value")) == F.col(f"__{c}"), "left")
+        out = out.join(names, iri_key(c) == F.col(f"__{c}"), "left")
     seq = F.col("seq")
     held = {c: (seq >= F.col(f"__{c}_since")) & (seq <= F.col(f"__{c}_done")) for c in "so"}
     out = out.withColumn("__flush", F.when(held["s"], F.col("__s_done")).when(held["o"], F.col("__o_done")).otherwise(seq))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.terms import is_bnode, is_iri
+from ..functions.terms import is_bnode, is_iri, term_to_string
 from ..functions.text import group_count, matches, pattern, resolve_iri
 from ..plans.registry import component
+from ..plans.storage import materialize
 from .closure import blank_links, owners
 from .matchers import Matcher
 from .resources import fail
@@ -26,6 +28,10 @@ class Strategy:
     def assign(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def unplaced(self, df: DataFrame) -> DataFrame | None:
+        """Rows (warning): what is in no document though it should be; None where that cannot be."""
+        return None
+
 
 def _by_term(df: DataFrame, key: str, value: str, doc: Column) -> DataFrame:
     """Quads whose key is an IRI in its document, and quads whose key is a blank node in those of all that reach it."""
@@ -42,6 +48,11 @@ def unowned(df: DataFrame, key: str = "s", value: str = "o") -> DataFrame:
     return df.where(is_bnode(key)).join(reach, F.col(f"{key}.value") == F.col("__b"), "left_anti")
 
 
+def _unowned_warnings(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    quad_ = F.concat_ws(" ", *[term_to_string(c) for c in "spo"])
+    return unowned(df, key, value).select(F.concat(F.lit(f"Quad with a blank node as {name} that no IRI links to: "), quad_).alias("warning"))
+
+
 @component("FragmentationStrategySubject")
 @dataclass
 class BySubject(Strategy):
@@ -56,6 +67,9 @@ class BySubject(Strategy):
         doc = value if self.relative_path is None else resolve_iri(self.relative_path, F.when(value.endswith("/"), value).otherwise(F.concat(value, F.lit("/"))))
         return _by_term(df, "s", "o", doc)
 
+    def unplaced(self, df):
+        return _unowned_warnings(df, "s", "o", "subject")
+
 
 @component("FragmentationStrategyObject")
 @dataclass
@@ -67,6 +81,9 @@ class ByObject(Strategy):
     def assign(self, df):
         return _by_term(df, "o", "s", F.col("o.value"))
 
+    def unplaced(self, df):
+        return _unowned_warnings(df, "o", "s", "object")
+
 
 @component("FragmentationStrategyResourceObject")
 @dataclass
@@ -74,15 +91,32 @@ class ByResourceObject(Strategy):
     """All quads of a subject in the document that its target predicate names: the last named before the quad, or else
     the first. Subjects without one are in none; a target that is no IRI is an error.
 
-    Few subjects have several targets, so targets are reduced to intervals of seq by a window over target quads alone,
-    and quads join the interval that they are in."""
+    Where a subject has few targets, they are intervals of seq, and quads join the interval that they are in. A subject with many
+    is dealt out by ranges of seq: within a range targets are filled forward, and each range begins with the last one before it, so
+    that no subject is one task's, and its quads do not meet all its targets."""
 
     target_predicate_regex: str
+    #: Targets of a subject up to which quads join their intervals.
+    FEW: ClassVar[int] = 32
 
     def assign(self, df):
-        named = df.where(matches(F.col("p.value"), self.target_predicate_regex))
+        named = df.where(self._names())
+        many = materialize(named.groupBy(F.col("s.value").alias("__s")).count().where(F.col("count") > self.FEW).select("__s"), "hubs")
+        if many.isEmpty():
+            return self._by_intervals(df, named)
+        hub = lambda d, how: d.join(many, F.col("s.value") == F.col("__s"), how)
+        return self._by_intervals(hub(df, "left_anti"), hub(named, "left_anti")).unionByName(self._by_ranges(hub(df, "left_semi")))
+
+    def _names(self) -> Column:
+        return matches(F.col("p.value"), self.target_predicate_regex)
+
+    @staticmethod
+    def _target() -> Column:
         problem = F.concat(F.lit("Expected a named node as target of "), F.col("s.value"), F.lit(", but found "), F.col("o.kind"), F.lit(" "), F.col("o.value"))
-        targets = named.select(F.col("s.value").alias("__s"), F.col("seq").alias("__at"), fail(F.col("o.kind") != "iri", problem, F.col("o.value")).alias("doc"))
+        return fail(F.col("o.kind") != "iri", problem, F.col("o.value"))
+
+    def _by_intervals(self, df: DataFrame, named: DataFrame) -> DataFrame:
+        targets = named.select(F.col("s.value").alias("__s"), F.col("seq").alias("__at"), self._target().alias("doc"))
         w = Window.partitionBy("__s").orderBy("__at")
         spans = targets.select("__s", "doc", F.row_number().over(w).alias("__n"), "__at", F.lead("__at").over(w).alias("__until"))
         # a target holds for the quads after its own, up to the next one's; the first for all before too
@@ -90,6 +124,25 @@ class ByResourceObject(Strategy):
         before = F.col("__until").isNull() | (F.col("seq") <= F.col("__until"))
         return df.join(spans, (F.col("s.value") == F.col("__s")) & after & before).select(*FRAGMENT)
 
+    def _by_ranges(self, df: DataFrame) -> DataFrame:
+        rows = df.select("seq", "s", "p", "o", "g", F.col("s.value").alias("__s"), F.when(self._names(), self._target()).alias("__t"))
+        rows = materialize(rows.repartitionByRange("__s", "seq").withColumn("__part", F.spark_partition_id()), "ranges")
+        # a row for each range of each subject
+        ends = rows.where("__t is not null").groupBy("__s", "__part").agg(F.max_by("__t", "seq").alias("last"), F.min_by("__t", "seq").alias("first"))
+        parts = rows.select("__s", "__part").distinct().join(ends, ["__s", "__part"], "left")
+        w = Window.partitionBy("__s").orderBy("__part")
+        carried = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        first = F.first("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        carry = parts.select("__s", "__part", F.coalesce(carried, first).alias("__carry"))
+        within = Window.partitionBy("__s", "__part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        filled = rows.withColumn("__doc", F.last("__t", ignorenulls=True).over(within)).join(carry, ["__s", "__part"])
+        return filled.withColumn("doc", F.coalesce("__doc", "__carry")).select(*FRAGMENT)
+
+    def unplaced(self, df):
+        named = df.where(matches(F.col("p.value"), self.target_predicate_regex)).select("s.value").distinct()
+        none = df.select("s.value").distinct().join(named, "value", "left_anti")
+        return none.select(F.concat(F.lit("Resource without a target predicate: "), F.col("value")).alias("warning"))
+
 
 @component("FragmentationStrategyExceptionEntry")
 @dataclass
@@ -109,13 +162,24 @@ class ByException(Strategy):
     strategy: Strategy
     exceptions: list[ExceptionEntry]
 
-    def assign(self, df):
+    def _dealt(self, df: DataFrame) -> list[tuple[Strategy, DataFrame]]:
         out, rest = [], df
         for e in self.exceptions:
             marked = e.matcher.mark(rest, "__hit")
-            out.append(e.strategy.assign(marked.where("__hit").drop("__hit")))
+            out.append((e.strategy, marked.where("__hit").drop("__hit")))
             rest = marked.where(~F.col("__hit")).drop("__hit")
-        return reduce(DataFrame.unionByName, [*out, self.strategy.assign(rest)])
+        return [*out, (self.strategy, rest)]
+
+    def assign(self, df):
+        return reduce(DataFrame.unionByName, [s.assign(mine) for s, mine in self._dealt(df)])
+
+    def unplaced(self, df):
+        return _all([s.unplaced(mine) for s, mine in self._dealt(df)])
+
+
+def _all(parts: list[DataFrame | None]) -> DataFrame | None:
+    some = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, some) if some else None
 
 
 @component("FragmentationStrategyComposite")
@@ -129,6 +193,9 @@ class Composite(Strategy):
         parts = [s.assign(df) for s in self.strategies]
         return reduce(DataFrame.unionByName, parts) if parts else df.withColumn("doc", F.lit("")).where(F.lit(False)).select(*FRAGMENT)
 
+    def unplaced(self, df):
+        return _all([s.unplaced(df) for s in self.strategies])
+
 
 @component("FragmentationConstant")
 @dataclass

@@ -14,7 +14,7 @@ from ..functions.text import code_sum, group, group_count, js_replace, matches,
 from ..plans.registry import component
 from ..plans.storage import materialize
 from .matchers import Matcher
-from .resources import fail, rename, resources
+from .resources import fail, iri_key, rename, resources
 from .templates import GroupModifier
 
 SCL = "https://w3id.org/scl/vocab#"
@@ -144,8 +144,8 @@ class BlankToFragment(Transformer):
         first = first.select("__b", "__at", new)
         as_object = first.select(*[F.col(c).alias(f"__o{c}") for c in first.columns])
         as_subject = first.select(*[F.col(c).alias(f"__s{c}") for c in first.columns])
-        out = df.join(as_object, (F.when(F.col("o.kind") == "bnode", F.col("o.value")) == F.col("__o__b")) & (F.col("seq") == F.col("__o__at")), "left")
-        out = out.join(as_subject, F.when(F.col("s.kind") == "bnode", F.col("s.value")) == F.col("__s__b"), "left")
+        out = df.join(as_object, (iri_key("o", "bnode") == F.col("__o__b")) & (F.col("seq") == F.col("__o__at")), "left")
+        out = out.join(as_subject, iri_key("s", "bnode") == F.col("__s__b"), "left")
         named = F.col("__o__new").isNotNull()
         blank = F.col("s.kind") == "bnode"
         unknown = F.col("__s__at").isNull() | (F.col("seq") < F.col("__s__at"))
@@ -180,9 +180,8 @@ class RemapResourceIdentifier(Transformer):
     def apply(self, df, allowed=None):
         if allowed == "object":
             return df
-        # the quads are read several times: as they are, not worked out anew each time
-        df = materialize(df, "quads")
-        return rename(df, self.renames(df), self.strict, allowed)
+        # a narrow table, a row for each resource; the quads themselves are not written
+        return rename(df, materialize(self.renames(df), "renames"), self.strict, allowed)
 
 
 @component("QuadTransformerCompositeSequential")
@@ -212,20 +211,22 @@ class VaryingResource(Transformer):
     stateless = False
 
     def apply(self, df, allowed=None):
-        df = materialize(df, "quads")
         found = resources(df, self.type_regex, self.target_predicate_regex)
         message = F.concat(F.lit("Detected non-finalized resource: "), F.col("iri"))
         target = fail(F.col("done").isNull(), message, F.col("target"))
-        variants = found.select("iri", (code_sum(target) % len(self.transformers)).cast("int").alias("variant"))
+        variants = materialize(found.select("iri", (code_sum(target) % len(self.transformers)).cast("int").alias("variant")), "variants")
         out = df
         for c in "so":
             names = variants.select(F.col("iri").alias(f"__i{c}"), F.col("variant").alias(f"__v{c}"))
-            out = out.join(names, F.when(F.col(f"{c}.kind") == "iri", F.col(f"{c}.value")) == F.col(f"__i{c}"), "left").drop(f"__i{c}")
+            out = out.join(names, iri_key(c) == F.col(f"__i{c}"), "left").drop(f"__i{c}")
+        # once with their variants; then of each transformer what it made of its own quads
+        out = materialize(out, "quads")
         for v, transformer in enumerate(self.transformers):
             mine = F.coalesce((F.col("__vs") == v) | (F.col("__vo") == v), F.lit(False))
             # a longer seq begins with the place at which its quad leaves, so it still compares with the shorter ones
-            out = materialize(out, "quads")
-            out = transformer.apply(out.where(mine)).unionByName(out.where(~mine))
+            made = transformer.apply(out.where(mine))
+            last = v == len(self.transformers) - 1
+            out = (made if last else materialize(made, "quads")).unionByName(out.where(~mine))
         return out.drop("__vs", "__vo")
 
 
@@ -363,10 +364,9 @@ class AppendSolidTypeIndex(Transformer):
     stateless = False
 
     def apply(self, df, allowed=None):
-        df = materialize(df, "quads")
         found = resources(df, self.type_regex, self.profile_predicate_regex).where(F.col("done").isNotNull())
-        found = found.select(F.col("iri").alias("__iri"), F.col("done").alias("__done"), F.col("type").alias("__type"), F.col("target").alias("__target"))
-        out = df.join(found, (F.when(F.col("s.kind") == "iri", F.col("s.value")) == F.col("__iri")) & (F.col("seq") == F.col("__done")), "left")
+        found = materialize(found.select(F.col("iri").alias("__iri"), F.col("done").alias("__done"), F.col("type").alias("__type"), F.col("target").alias("__target")), "profiles")
+        out = df.join(found, (iri_key("s") == F.col("__iri")) & (F.col("seq") == F.col("__done")), "left")
         index = resolve_iri(self.type_index, F.col("__target"))
         entry = iri(F.concat(index, F.lit(self.entry_suffix)))
         made = F.array(

@@ -4,22 +4,57 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Working folders of the run() that is going on, if any.
+_RUNNING: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the checkpoint folder already set; only where neither is, a new temporary folder."""
+    """spark.checkpoint.dir, or the checkpoint folder already set; only where neither is and all runs on this machine, a new
+    temporary folder."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def working_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of working() if that goes on."""
+    path = f"{shared_dir(spark)}/quads-{name}-{uuid.uuid4().hex}"
+    if _RUNNING:
+        _RUNNING[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and returns a DataFrame that reads it, so that lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/quads-{name}-{uuid.uuid4().hex}"
+    """Writes df into the shared folder and returns a DataFrame that reads it, so that lineage ends there. Whoever gets DataFrames
+    that read it clears the folder; within working() it goes by itself."""
+    path = working_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Working tables made inside are removed at the end, if all went well: what a failed run leaves shows where it was."""
+    _RUNNING.append([])
+    try:
+        yield
+        for path in _RUNNING[-1]:
+            remove(spark, path)
+    finally:
+        _RUNNING.pop()

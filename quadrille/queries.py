@@ -19,7 +19,8 @@ from .operators import transforms as X
 from .operators.callbacks import MapCallback
 from .operators.closure import blank_links, owners
 from .operators.summaries import bloom_filters, bloom_pairs, void_counts
-from .sinks.files import CsvSink, FilteredSink, Sink, file_path
+from .plans.storage import working_path
+from .sinks.files import CompositeSink, CsvSink, FileSink, FilteredSink, Sink, file_path
 from .sources import tables
 from .sources.rdf import CompositeSource, parse_lines
 
@@ -61,7 +62,7 @@ def lifted(*names: str) -> str:
     for name in names:
         table, t, k1, k2, quads = _LIFT[name]
         parts += [f"SELECT {t} AS t, {k1} AS k1, {k2} AS k2, {n} AS n, {s} AS s, '{p}' AS p, {o} AS o FROM {table}" for n, (s, p, o) in enumerate(quads)]
-    return "quads AS (" + " UNION ALL ".join(parts) + ")"
+    return "quads AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
 
 
 def _of(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -117,14 +118,41 @@ def snk_file_path(spark, sf_dir):
     return pages.select("page_id", file_path(F.col("url"), {r"^https?:\/\/": "web/", r"^https?:\/\/m\.": "mobile/"}, "$.nq").alias("path"))
 
 
-@query(f"WITH {lifted('places')} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '\"%' THEN o ELSE '<' || o || '>' END || ' .' AS line FROM quads")
+def _line_sql(end: str) -> str:
+    name = "CASE WHEN {0} LIKE '\\_:%' ESCAPE '\\' THEN {0} ELSE '<' || {0} || '>' END"
+    text = "regexp_replace(o, '\"\\^\\^(.*)$', '\"^^<\\1>')"
+    return f"{name.format('s')} || ' <' || p || '> ' || CASE WHEN o LIKE '\"%' THEN {text} ELSE {name.format('o')} END || '{end}'"
+
+
+@query(f"WITH {lifted('posts', 'lines', 'places')} SELECT {_line_sql(' .')} AS line FROM quads")
 def snk_nquads(spark, sf_dir):
-    return _of(spark, sf_dir, "places").select(format_quad("application/n-quads").alias("line"))
+    return _of(spark, sf_dir, "posts", "lines", "places").select(format_quad("application/n-quads").alias("line"))
 
 
-@query(f"WITH {lifted('places')} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o LIKE '\"%' THEN o ELSE '<' || o || '>' END || '.' AS line FROM quads")
+@query(f"WITH {lifted('posts', 'lines', 'places')} SELECT {_line_sql('.')} AS line FROM quads")
 def snk_turtle(spark, sf_dir):
-    return _of(spark, sf_dir, "places").select(format_quad("text/turtle").alias("line"))
+    return _of(spark, sf_dir, "posts", "lines", "places").select(format_quad("text/turtle").alias("line"))
+
+
+@query(f"""WITH {lifted('posts')}, d AS (SELECT s, o AS doc FROM quads WHERE p = '{V}hasCreator')
+SELECT regexp_extract(doc, '[^/]*$') || '$.nq' AS file, count(*) AS n, md5(string_agg({_line_sql(' .')}, chr(10) ORDER BY k1, n) || chr(10)) AS md5
+FROM quads JOIN d USING (s) GROUP BY doc""")
+def snk_files(spark, sf_dir):
+    """The files of the sink, written to the shared folder and read back: a person's with all posts they created, in order."""
+    root = working_path(spark, "files")
+    sink = FileSink("application/n-quads", {"^http://ex.org/data/": "people/"}, file_extension="$.nq", root=root.removeprefix("file://"))
+    sink.write(S.ByResourceObject("vocabulary/hasCreator$").assign(_of(spark, sf_dir, "posts")))
+    files = spark.read.text(f"{root}/people", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"[^/]*$", 0).alias("file"), "value")
+    return files.select("file", (F.length("value") - F.length(F.replace("value", F.lit("\n")))).cast("long").alias("n"), F.md5("value").alias("md5"))
+
+
+@query(f"""WITH {lifted('persons', 'posts')} SELECT 'types' AS sink, s AS doc, s, p, o FROM quads WHERE p = '{A}' UNION ALL SELECT 'all', s, s, p, o FROM quads""")
+def snk_composite(spark, sf_dir):
+    """Every quad to both sinks, of which one keeps type quads alone."""
+    types, all_ = _Kept(), _Kept()
+    CompositeSink([FilteredSink(types, M.PredicateMatcher("#type$")), all_]).write(S.BySubject().assign(_of(spark, sf_dir, "persons", "posts")))
+    both = [shown(x.fragments.withColumn("sink", F.lit(name)), "sink", "doc") for name, x in (("types", types), ("all", all_))]
+    return both[0].unionByName(both[1])
 
 
 @query(f"WITH {lifted('posts')} SELECT s || ',' || p || ',' || o AS line FROM quads")
@@ -232,9 +260,9 @@ def trf_set_extension(spark, sf_dir):
     return shown(X.SetIriExtension("nq").apply(_of(spark, sf_dir, "web_pages")))
 
 
-@query(f"WITH {lifted('places')}, twice AS (SELECT unnest([1, 2]) AS c) SELECT s, p, o, count(*) AS n FROM quads CROSS JOIN twice GROUP BY s, p, o")
+@query(f"WITH {lifted('persons', 'posts')}, twice AS (SELECT unnest([1, 2]) AS c) SELECT s, p, o, count(*) AS n FROM quads CROSS JOIN twice GROUP BY s, p, o")
 def trf_clone(spark, sf_dir):
-    return shown(X.Clone().apply(X.Identity().apply(_of(spark, sf_dir, "places")))).groupBy("s", "p", "o").agg(F.count("*").alias("n"))
+    return shown(X.Clone().apply(X.Identity().apply(_of(spark, sf_dir, "persons", "posts")))).groupBy("s", "p", "o").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {lifted('posts')} SELECT regexp_replace(regexp_replace(s, 'data', 'raw'), 'raw', 'store') AS s, regexp_replace(regexp_replace(p, 'data', 'raw'), 'raw', 'store') AS p, CASE WHEN o LIKE '\"%' THEN o ELSE regexp_replace(regexp_replace(o, 'data', 'raw'), 'raw', 'store') END AS o FROM quads")
@@ -280,17 +308,20 @@ def trf_append_scl(spark, sf_dir):
 # ---- transformers with memory
 
 
-@query(f"""WITH {lifted('lines')}, owner AS (SELECT o AS b, arg_min(s, (t, k1, k2, n)) AS s, min((t, k1, k2, n)) AS at FROM quads WHERE p = '{V}hasLine' GROUP BY o)
+@query(f"""WITH {lifted('lines')}, x AS (SELECT t, k1, k2, n, replace(s, '_:c', 'http://ex.org/prices/') AS s, p, replace(o, '_:c', 'http://ex.org/prices/') AS o FROM quads),
+owner AS (SELECT o AS b, arg_min(s, (t, k1, k2, n)) AS s, min((t, k1, k2, n)) AS at FROM x WHERE p = '{V}hasLine' GROUP BY o)
 SELECT coalesce(a.s || '#' || substr(a.b, 3), q.s) AS s, q.p, CASE WHEN c.at = (q.t, q.k1, q.k2, q.n) THEN c.s || '#' || substr(c.b, 3) ELSE q.o END AS o
-FROM quads q LEFT JOIN owner a ON a.b = q.s LEFT JOIN owner c ON c.b = q.o WHERE q.n < 4""")
+FROM x q LEFT JOIN owner a ON a.b = q.s LEFT JOIN owner c ON c.b = q.o""")
 def trf_blank_to_fragment(spark, sf_dir):
-    """Lines without their prices' own quads, whose blank subjects no IRI points to."""
-    df = _of(spark, sf_dir, "lines").where(F.element_at("seq", -1) < 4)
-    return shown(X.BlankToFragment().apply(df))
+    """Prices, which no IRI points to, are named first; lines then are fragments of their posts."""
+    named = X.BlankToNamed("^c", "http://ex.org/prices/")
+    return shown(X.Sequential([named, X.BlankToFragment()]).apply(_of(spark, sf_dir, "lines")))
 
 
 _REMAP = X.RemapResourceIdentifier("#Post", "vocabulary/Post$", "vocabulary/id$", "vocabulary/hasCreator$")
-_NEW = f"""post AS (SELECT a.s, c.o || '#Post' || replace(i.o, '"', '') AS new FROM quads a JOIN quads i ON i.s = a.s AND i.p = '{V}id' JOIN quads c ON c.s = a.s AND c.p = '{V}hasCreator' WHERE a.p = '{A}' AND a.o = '{V}Post')"""
+#: Posts by one aggregate: their creator and their identifier without its quotes.
+_POST = f"""told AS (SELECT s, max(o) FILTER (WHERE p = '{V}hasCreator') AS creator, replace(max(o) FILTER (WHERE p = '{V}id'), '"', '') AS id FROM quads WHERE p IN ('{V}hasCreator', '{V}id') GROUP BY s)"""
+_NEW = f"{_POST}, post AS (SELECT s, creator || '#Post' || id AS new FROM told)"
 
 
 @query(f"WITH {lifted('posts', 'lines')}, {_NEW} SELECT coalesce(new, q.s) AS s, p, o FROM quads q LEFT JOIN post USING (s)")
@@ -298,8 +329,7 @@ def trf_remap(spark, sf_dir):
     return shown(_REMAP.apply(_of(spark, sf_dir, "posts", "lines")))
 
 
-@query(f"""WITH {lifted('posts')}, m AS (SELECT *, regexp_replace(replace(o, '"', ''), '^[0-9]*([0-9])$', '\\1') AS last FROM quads WHERE p = '{V}id'),
-post AS (SELECT a.s, regexp_replace(c.o, '[^/]*$', '') || 'posts/' || m.last AS new FROM quads a JOIN m USING (s) JOIN quads c ON c.s = a.s AND c.p = '{V}hasCreator' WHERE a.p = '{A}')
+@query(f"""WITH {lifted('posts')}, {_POST}, post AS (SELECT s, regexp_replace(creator, '[^/]*$', '') || 'posts/' || regexp_replace(id, '^[0-9]*([0-9])$', '\\1') AS new FROM told)
 SELECT coalesce(new, q.s) AS s, p, o FROM quads q LEFT JOIN post USING (s)""")
 def trf_remap_modified(spark, sf_dir):
     """Also ValueModifierRegexReplaceGroup: identifiers cut to their last digit, below a relative separator."""
@@ -307,11 +337,11 @@ def trf_remap_modified(spark, sf_dir):
     return shown(t.apply(_of(spark, sf_dir, "posts")))
 
 
-_VARIANT = "list_sum(list_transform(string_split(c.o, ''), lambda x: unicode(x))) % 2"
+_VARIANT = "list_sum(list_transform(string_split(creator, ''), lambda x: unicode(x))) % 2"
 
 
-@query(f"""WITH {lifted('posts', 'lines')}, post AS (SELECT a.s, CASE WHEN {_VARIANT} = 0 THEN c.o || '#Post' ELSE regexp_replace(c.o, '[^/]*$', '') || 'posts/' END || replace(i.o, '"', '') AS new
-  FROM quads a JOIN quads i ON i.s = a.s AND i.p = '{V}id' JOIN quads c ON c.s = a.s AND c.p = '{V}hasCreator' WHERE a.p = '{A}' AND a.o = '{V}Post')
+@query(f"""WITH {lifted('posts', 'lines')}, {_POST},
+post AS (SELECT s, CASE WHEN {_VARIANT} = 0 THEN creator || '#Post' ELSE regexp_replace(creator, '[^/]*$', '') || 'posts/' END || id AS new FROM told)
 SELECT coalesce(new, q.s) AS s, p, o FROM quads q LEFT JOIN post USING (s)""")
 def trf_varying(spark, sf_dir):
     other = X.RemapResourceIdentifier("posts/", "vocabulary/Post$", "vocabulary/id$", "vocabulary/hasCreator$")
@@ -365,7 +395,7 @@ def str_object(spark, sf_dir):
     return shown(S.ByObject().assign(_of(spark, sf_dir, "posts", "lines")), "doc")
 
 
-@query(f"WITH {lifted('persons', 'posts')} SELECT c.o AS doc, q.s, q.p, q.o FROM quads q JOIN quads c ON c.s = q.s AND c.p = '{V}hasCreator'")
+@query(f"WITH {lifted('persons', 'posts')}, c AS (SELECT s, o AS doc FROM quads WHERE p = '{V}hasCreator') SELECT doc, s, p, o FROM quads JOIN c USING (s)")
 def str_resource_object(spark, sf_dir):
     return shown(S.ByResourceObject("vocabulary/hasCreator$").assign(_of(spark, sf_dir, "persons", "posts")), "doc")
 
@@ -379,10 +409,10 @@ def str_exception(spark, sf_dir):
     return shown(S.ByException(S.BySubject(), entries).assign(_of(spark, sf_dir, "persons", "posts")), "doc")
 
 
-@query(f"WITH {lifted('places')} SELECT s AS doc, s, p, o FROM quads UNION ALL SELECT o, s, p, o FROM quads WHERE o LIKE 'http%' UNION ALL SELECT 'http://ex.org/all', s, p, o FROM quads")
+@query(f"WITH {lifted('persons', 'posts', 'places')} SELECT s AS doc, s, p, o FROM quads UNION ALL SELECT o, s, p, o FROM quads WHERE o LIKE 'http%' UNION ALL SELECT 'http://ex.org/all', s, p, o FROM quads")
 def str_composite(spark, sf_dir):
     all_ = S.Composite([S.BySubject(), S.ByObject(), S.Constant("http://ex.org/all")])
-    return shown(all_.assign(_of(spark, sf_dir, "places")), "doc")
+    return shown(all_.assign(_of(spark, sf_dir, "persons", "posts", "places")), "doc")
 
 
 @query(f"WITH {lifted('persons')} SELECT 'http://ex.org/dump' AS doc, s, p, o FROM quads")
@@ -426,7 +456,7 @@ def sum_void_classes(spark, sf_dir):
 _VOID = "http://rdfs.org/ns/void#"
 
 
-@query(f"""WITH {lifted('places')}, grouped AS (SELECT 'http://ex.org/' AS dataset, * FROM quads), words AS (SELECT DISTINCT dataset, p AS value FROM grouped UNION SELECT DISTINCT dataset, o FROM grouped WHERE p = '{A}'),
+@query(f"""WITH {lifted('persons', 'posts')}, grouped AS (SELECT 'http://ex.org/' AS dataset, * FROM quads), words AS (SELECT DISTINCT dataset, p AS value FROM grouped UNION SELECT DISTINCT dataset, o FROM grouped WHERE p = '{A}'),
 {_murmur_sql('words', 'value')}, part AS (SELECT dataset, value, dataset || '#' || lower(to_hex(h)) AS iri FROM hashed),
 pp AS (SELECT g.dataset, g.p, part.iri, count(*) AS n, count(DISTINCT s) AS ns, count(DISTINCT o) AS no FROM grouped g JOIN part ON part.dataset = g.dataset AND part.value = g.p GROUP BY ALL),
 cp AS (SELECT g.dataset, g.o AS c, part.iri, count(DISTINCT s) AS n FROM grouped g JOIN part ON part.dataset = g.dataset AND part.value = g.o WHERE g.p = '{A}' GROUP BY ALL),
@@ -442,7 +472,7 @@ UNION ALL SELECT iri, '{_VOID}entities', '"' || n || '"^^{XSD}integer' FROM cp)
 SELECT 'http://ex.org/' AS doc, s, p, o FROM made""")
 def str_void(spark, sf_dir):
     """A VoID description, quad by quad."""
-    return shown(S.ByVoID(["^http://ex.org/"]).assign(_of(spark, sf_dir, "places")), "doc")
+    return shown(S.ByVoID(["^http://ex.org/"]).assign(_of(spark, sf_dir, "persons", "posts")), "doc")
 
 
 _PAIRS = """pairs AS (SELECT DISTINCT dataset, family, key, member FROM (
@@ -459,21 +489,37 @@ def sum_bloom_pairs(spark, sf_dir):
 _FNV = "list_reduce(list_concat([{}::BIGINT], list_transform(string_split(member, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT)"
 
 
-@query(f"""WITH {lifted('places')}, grouped AS (SELECT s AS dataset, * FROM quads), {_PAIRS}, h AS (SELECT *, {_FNV.format(0x811C9DC5)} AS a, {_FNV.format(0x050C5D1F)} AS b FROM pairs),
-bits AS (SELECT DISTINCT dataset, family, key, (a + i * b) % 256 AS bit FROM (SELECT *, unnest(range(0, 4)) AS i FROM h)),
+_FILTERS = f"""grouped AS (SELECT s AS dataset, * FROM quads), {_PAIRS}, h AS (SELECT member, {_FNV.format(0x811C9DC5)} AS a, {_FNV.format(0x050C5D1F)} AS b FROM (SELECT DISTINCT member FROM pairs)),
+bits AS (SELECT DISTINCT dataset, family, key, (a + i * b) % 256 AS bit FROM (SELECT *, unnest(range(0, 4)) AS i FROM pairs JOIN h USING (member))),
 bytes AS (SELECT dataset, family, key, bit // 8 AS byte, sum(1 << (bit % 8)::INT) AS v FROM bits GROUP BY ALL),
-every AS (SELECT dataset, family, key, unnest(range(0, 32)) AS byte FROM (SELECT DISTINCT dataset, family, key FROM bits))
-SELECT dataset, family, key, string_agg(printf('%02X', coalesce(v, 0)::INT), '' ORDER BY byte) AS bitmap FROM every LEFT JOIN bytes USING (dataset, family, key, byte) GROUP BY dataset, family, key""")
+every AS (SELECT dataset, family, key, unnest(range(0, 32)) AS byte FROM (SELECT DISTINCT dataset, family, key FROM bits)),
+filters AS (SELECT dataset, family, key, string_agg(printf('%02X', coalesce(v, 0)::INT), '' ORDER BY byte) AS bitmap FROM every LEFT JOIN bytes USING (dataset, family, key, byte) GROUP BY dataset, family, key)"""
+
+
+@query(f"WITH {lifted('persons')}, {_FILTERS} SELECT * FROM filters")
 def sum_bloom_filters(spark, sf_dir):
-    grouped = S.ByVoID(["^http://ex.org/places/nation[0-9]+"]).grouped(_of(spark, sf_dir, "places"))
+    grouped = S.ByVoID(["^http://ex.org/data/pers[0-9]+"]).grouped(_of(spark, sf_dir, "persons"))
     return bloom_filters(grouped, 256, 4).select("dataset", "family", "key", F.hex("bitmap").alias("bitmap"))
 
 
-@query()
+_MEM = "http://semweb.mmlab.be/ns/membership#"
+
+
+@query(f"""WITH {lifted('persons')}, {_FILTERS}, loc AS (SELECT DISTINCT dataset, regexp_extract(dataset, '^http://ex.org/data/pers[0-9]') AS doc FROM filters),
+names AS (SELECT dataset, '' AS family, '' AS key, 'HashFunction' AS kind, doc, doc AS base, dataset || '{_MEM}HashFunction' AS value, '' AS bitmap FROM loc
+  UNION ALL SELECT dataset, family, key, kind, doc, doc, dataset || '{_MEM}' || kind || '{_MEM}' || family || key, bitmap FROM filters JOIN loc USING (dataset) JOIN (VALUES ('MemberCollection'), ('BloomFilter')) k(kind) ON true),
+{_murmur_sql('names', 'value')}, iris AS (SELECT *, doc || '#' || lower(to_hex(h)) AS iri FROM hashed),
+hf AS (SELECT * FROM iris WHERE kind = 'HashFunction'), mc AS (SELECT * FROM iris WHERE kind = 'MemberCollection'),
+bf AS (SELECT b.*, mc.iri AS collection, hf.iri AS hashes FROM iris b JOIN mc USING (dataset, family, key) JOIN hf ON hf.dataset = b.dataset WHERE b.kind = 'BloomFilter')
+SELECT doc, iri AS s, '{A}' AS p, '{_MEM}HashFunction' AS o FROM hf UNION ALL SELECT doc, iri, '{A}', '{_MEM}FowlerNollVo' FROM hf UNION ALL SELECT doc, iri, '{_MEM}hashSize', '"4"^^{XSD}integer' FROM hf
+UNION ALL SELECT doc, iri, '{A}', '{_MEM}MemberCollection' FROM mc UNION ALL SELECT doc, iri, '{_MEM}sourceCollection', dataset FROM mc UNION ALL SELECT doc, iri, '{_MEM}' || family, key FROM mc
+UNION ALL SELECT doc, iri, '{A}', '{_MEM}' || unnest(['MembershipFunction', 'ApproximateMembershipFunction', 'BloomFilter']) FROM bf UNION ALL SELECT doc, iri, '{_MEM}hashFunction', hashes FROM bf
+UNION ALL SELECT doc, iri, '{_MEM}memberCollection', collection FROM bf UNION ALL SELECT doc, iri, '{_MEM}bitSize', '"256"^^{XSD}integer' FROM bf
+UNION ALL SELECT doc, iri, '{_MEM}binaryRepresentation', '"' || to_base64(unhex(bitmap)) || '"^^{XSD}base64Binary' FROM bf""")
 def str_bloom(spark, sf_dir):
-    """Filters of nations in documents of regions of their IRI; the bits are held against SQL in sum_bloom_filters."""
-    strategy = S.ByBloom(["^http://ex.org/places/nation[0-9]+"], 256, 4, ["^http://ex.org/places/nation[0-9]"])
-    return shown(strategy.assign(_of(spark, sf_dir, "places")), "doc")
+    """Filters of persons, quad by quad, in documents by the first digit of their number."""
+    strategy = S.ByBloom(["^http://ex.org/data/pers[0-9]+"], 256, 4, ["^http://ex.org/data/pers[0-9]"])
+    return shown(strategy.assign(_of(spark, sf_dir, "persons")), "doc")
 
 
 @query(f"WITH RECURSIVE {lifted('posts', 'lines')}, {_OWNED} SELECT doc, b FROM owner WHERE b LIKE '\\_:%' ESCAPE '\\'")

@@ -1,5 +1,5 @@
-"""RDF files as quads. N-Triples and N-Quads are read line by line, split across tasks; Turtle and TriG, whose
-meaning depends on the whole document, file by file. Blank nodes are scoped to their file by a prefix b0_, b1_, .."""
+"""RDF files as quads. N-Triples and N-Quads are read line by line, split across tasks; Turtle, TriG, RDF/XML, JSON-LD
+and HTML, whose meaning depends on the whole document, file by file. Blank nodes are scoped to their file by a prefix b0_, b1_, .."""
 
 from __future__ import annotations
 
@@ -15,19 +15,33 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import QUAD, RDF_TYPE, XSD, default_graph, empty_quads, term
 from ..plans.registry import component
+from .documents import PARSERS
 
 LINES = ("nt", "nq", "ntriples", "nquads")
-DOCUMENTS = ("ttl", "turtle", "trig", "n3")
 
 _IRI, _BLANK, _LITERAL = r"<[^>]*>", r"_:[^\s<>\"]+", r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
 _LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 
 def _unescaped(value: Column) -> Column:
-    """Escapes of N-Triples, which are those of JSON but for \\' and \\U."""
-    json = F.regexp_replace(F.regexp_replace(value, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1"), r"\\'", "'")
-    parsed = F.from_json(F.concat(F.lit('{"v":"'), F.regexp_replace(F.regexp_replace(json, "\t", r"\\t"), "\r", r"\\r"), F.lit('"}')), "v string")["v"]
-    return F.when(value.contains("\\"), parsed).otherwise(value)
+    """Escapes of N-Triples, which are those of JSON but for \\' and \\U; a wrong one is an error."""
+    # an escaped backslash first, so that what follows it is not taken for an escape
+    plain = F.regexp_replace(F.regexp_replace(value, r"\\\\", r"\\u005C"), r"\\'", "'")
+    wrong = F.raise_error(F.concat(F.lit("Illegal escape: "), value)).cast("string")
+
+    def wide(rest: Column) -> Column:
+        """What stood behind \\U, with its eight digits as one or two escapes of JSON."""
+        code = F.conv(F.substring(rest, 1, 8), 16, 10).cast("long")
+        four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.hex(n), 4, "0"))
+        low = code - 0x10000
+        both = F.concat(four(F.lit(0xD800) + F.shiftright(low, 10)), four(F.lit(0xDC00) + low.bitwiseAND(F.lit(0x3FF))))
+        made = F.when(code < 0x10000, four(code)).when(code <= 0x10FFFF, both)
+        return F.concat(F.when(rest.rlike("^[0-9A-Fa-f]{8}"), made), F.substring(rest, 9, 1 << 30))
+
+    parts = F.split(plain, r"\\U")
+    json = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.coalesce(wide(x), F.lit("\\!"))), ""))
+    parsed = F.from_json(F.concat(F.lit('{"v":"'), json, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"]
+    return F.when(value.contains("\\"), F.coalesce(parsed, wrong)).otherwise(value)
 
 
 def _term(text: Column, scope: Column) -> Column:
@@ -223,13 +237,17 @@ class TurtleParser:
         raise ValueError(f"unexpected {value!r} in Turtle")
 
 
-def _parse_documents(base: str | None, file: int):
+#: Parsers of whole documents by file extension.
+DOCUMENTS = dict.fromkeys(("ttl", "turtle", "trig", "n3"), TurtleParser) | PARSERS
+
+
+def _parse_documents(base: str | None, file: int, parser: type):
     kind = pa.struct([(c, pa.string()) for c in ("kind", "value", "datatype", "lang")])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                quads = TurtleParser(content.decode(), base or path, f"b{file}_").parse()
+                quads = parser(content.decode(), base or path, f"b{file}_").parse()
                 names = ("kind", "value", "datatype", "lang")
                 for k in range(0, len(quads), 10_000):
                     some = quads[k : k + 10_000]
@@ -255,8 +273,8 @@ class FileSource:
             return parse_lines(spark.read.text(self.file_path).withColumn("line", F.monotonically_increasing_id()), file)
         if extension in DOCUMENTS:
             files = spark.read.format("binaryFile").load(self.file_path).select("path", "content")
-            return files.mapInArrow(_parse_documents(self.base_iri, file), QUAD)
-        raise ValueError(f"no parser for files ending in .{extension}: {', '.join(LINES + DOCUMENTS)}")
+            return files.mapInArrow(_parse_documents(self.base_iri, file, DOCUMENTS[extension]), QUAD)
+        raise ValueError(f"no parser for files ending in .{extension}: {', '.join([*LINES, *DOCUMENTS])}")
 
 
 @component("QuadSourceComposite")

@@ -20,11 +20,12 @@ from ..sources.rdf import parse_lines
 
 
 def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream of quads of the N-Triples and N-Quads files that arrive in a folder. seq tells the order within a file;
-    blank nodes are named after their file."""
+    """A stream of quads of the N-Triples and N-Quads files that arrive in a folder. seq is the file and the start of the block that
+    a task reads: Spark numbers no rows of a stream, so lines of a block share their place, and nothing on a stream relies on
+    more. Blank nodes are named after their file."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    lines = lines.select("value", F.abs(F.xxhash64(F.col("_metadata.file_path"))).alias("file"), F.col("_metadata.file_block_start").alias("line"))
-    return parse_lines(lines, F.col("file"))
+    file = F.shiftrightunsigned(F.xxhash64(F.col("_metadata.file_path")), 1).alias("file")
+    return parse_lines(lines.select("value", file, F.col("_metadata.file_block_start").alias("line")), F.col("file"))
 
 
 def _own(quads: DataFrame, key: str, doc: Column, blank: str) -> DataFrame:

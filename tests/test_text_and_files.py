@@ -66,7 +66,7 @@ def test_resolve(spark):
     cases = [
         ("interests", "ex:s1/", "ex:s1/interests"),
         ("#Post123", "ex:c", "ex:c#Post123"),
-        ("../posts/123", "http://example.org/pods/bob/profile/card#me", "http://example.org/pods/bob/posts/123"),
+        ("../posts/123", "http://example.test/rooms/ann/door/key#it", "http://example.test/rooms/ann/posts/123"),
         ("g;x=1/../y", "http://a/b/c/d;p?q", "http://a/b/c/y"),
         ("?y", "http://a/b/c/d;p?q", "http://a/b/c/d;p?y"),
         ("", "http://a/b#f", "http://a/b"),
