@@ -30,7 +30,7 @@ SEED = 42
 BUCKET = 4096
 #: Rows of a bucket above which it is compared in blocks, by several tasks; blocks into which it goes at most (they
 #: grow beyond that).
-BLOCK, BLOCKS = 1024, 64
+BLOCK, BLOCKS = 1024, 1024
 #: Fingerprints compared at a time.
 CHUNK = 1 << 16
 _ONE = np.uint64(1)
@@ -87,14 +87,21 @@ def plan_blocks(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> list[int]
     return [0]
 
 
-def linked(key: np.ndarray, prints: np.ndarray, radius: int, known: list[int]) -> np.ndarray:
+def linked(key: np.ndarray, prints: np.ndarray, radius: int, known: list[int], side: np.ndarray | None = None) -> np.ndarray:
     """For rows sorted by key: the smallest row that each can reach by steps of at most `radius` bits between rows of
-    equal key. known: bits in which rows of a key agree anyway."""
+    equal key. known: bits in which rows of a key agree anyway. side: for a key that has rows of both sides, 0 before 1, steps lead
+    from one to the other alone."""
     n = len(key)
     tiles = -(-n // 64)
     new = np.concatenate(([True], key[1:] != key[:-1]))
     first = np.flatnonzero(new)
-    end = np.repeat(np.concatenate((first[1:], [n])), np.diff(np.concatenate((first, [n]))))
+    size = np.diff(np.concatenate((first, [n])))
+    end = np.repeat(np.concatenate((first[1:], [n])), size)
+    # a row meets those from here on
+    begin = np.arange(n) + 1
+    if side is not None and n:
+        other = np.add.reduceat(side, first)
+        begin = np.where(np.repeat((other > 0) & (other < size), size), np.where(side == 1, end, end - np.repeat(other, size)), begin)
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     padded = np.zeros((tiles * 64, 64), np.uint8)
     padded[:n] = bits
@@ -104,11 +111,11 @@ def linked(key: np.ndarray, prints: np.ndarray, radius: int, known: list[int]) -
     rows = np.arange(n)
     for apart in range(tiles):
         at = rows // 64 + apart
-        low = np.maximum(rows + 1 - at * 64, 0)
+        low = np.maximum(begin - at * 64, 0)
         high = np.minimum(end - at * 64, 64)
         row = rows[(high > low)]
         if not len(row):
-            if apart:
+            if (high <= 0).all():
                 break
             continue
         lo, hi = low[row].astype(np.uint64), high[row].astype(np.uint64)
@@ -165,7 +172,7 @@ def _above(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.nd
 
 
 def _forest(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, k, i, j, fp), sorted: links that span what a task finds."""
+    """Rows (t, k, i, j, side, fp), sorted: links that span what a task finds."""
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -177,7 +184,7 @@ def _forest(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) ->
         key = np.cumsum(change)
         same = np.bitwise_and.reduce([np.uint64(masks[t]) for t in np.unique(cols[0])])
         known = [b for b in range(64) if int(same) >> b & 1]
-        label = linked(key, prints, radius, known)
+        label = linked(key, prints, radius, known, rows.column("side").to_numpy().astype(np.int64))
         at = np.flatnonzero(label != np.arange(len(label)))
         if len(at):
             yield pa.record_batch({"a": prints[at].view(np.int64), "b": prints[label[at]].view(np.int64)})
@@ -215,20 +222,18 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     sizes = rows.groupBy("t", "k").count().where(F.col("count") > 1)
     blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("count") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("nb")).cast("int")
-    other = F.sequence(F.lit(0), F.col("nb") - 1)
-    pairs = F.when(F.col("nb") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(
-            F.filter(other, lambda o: o != F.col("mine")),
-            lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")),
-        )
+    # of a bucket that is cut into blocks, each meets itself once and each other one
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("nb") - 1),
+        lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j"), (F.col("mine") > o).cast("int").alias("side")),
     )
     dealt = (
         rows.join(sizes.select("t", "k", blocks.alias("nb")), ["t", "k"])
         .withColumn("mine", mine)
         .select("t", "k", "fp", F.explode(pairs).alias("p"))
-        .select("t", "k", "p.i", "p.j", "fp")
+        .select("t", "k", "p.i", "p.j", "p.side", "fp")
         .repartition("t", "k", "i", "j")
-        .sortWithinPartitions("t", "k", "i", "j", "fp")
+        .sortWithinPartitions("t", "k", "i", "j", "side", "fp")
     )
     return dealt.mapInArrow(thrifty(lambda batches: _forest(batches, masks, radius)), "a long, b long")
 
