@@ -61,7 +61,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # what goes is a smaller table than what stays, and of what stays only the few rows that a sieve takes for it are moved
     gone = materialize(rows.select(row).join(kept.select(F.col("least.row").alias(row)), row, "left_anti"), "pipeline-gone")
     bits = sieve(gone, row)
-    stays = sifted(rows, row, bits, False).unionByName(sifted(rows, row, bits).join(gone, row, "left_anti"))
+    stays = sifted(rows, row, bits, False).unionByName(sifted(rows, row, bits).hint("merge").join(gone, row, "left_anti"))
     return stays.drop(row, sketch)
 
 
