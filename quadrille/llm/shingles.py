@@ -146,9 +146,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are near-copies."""
-    pairs = materialize(pairs, "pairs")
-    both = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(pairs, "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    """Of pairs (a, b) those that are near-copies. Joined by merging whatever the size, as neither side has a bound."""
+    both = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge").join(pairs, "a").hint("merge")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(thrifty(_similar), "a long, b long"), "near-pairs")
 
 
@@ -191,38 +191,38 @@ def _in_blocks(texts: DataFrame, members: DataFrame) -> DataFrame:
 def near_sets(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, root) of the texts that near-copies connect, as components() gives them. rows: (id, text), ids distinct;
     sketches: (id, fp, bands) of those to compare."""
-    prints = materialize(sketches.select("fp").distinct(), "prints")
-    groups = components(materialize(near_links(prints), "near"))
-    grouped = sketches.select("id", "fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("id", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("k"))
-    keys = sketches.select("id", F.explode("bands").alias("k")).unionByName(grouped)
+    prints = materialize(sketches.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    keys = sketches.select("id", F.explode("bands").alias("k"))
     low = keys.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1")
-    keys = materialize(keys.join(low, "k").select("k", "id", "low", "size"), "buckets")
-    pairs = materialize(keys.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
-    # whoever is in a bucket of several; the texts of all others are not looked at again, nor moved
-    some = keys.select("id").distinct()
-    if some.isEmpty():
-        return components(pairs)
-    texts = sifted(rows.select("id", F.col("text").cast("string").alias("text")), "id", sieve(some, "id")).join(some, "id", "left_semi")
-    texts = materialize(texts, "candidate-texts")
-    links = _met(texts, pairs.groupBy("a").agg(F.min("b").alias("b")))
-    found = components(links)
-    roots = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.join(links, ["a", "b"], "left_anti").join(roots("a"), "a", "left").join(roots("b"), "b", "left")
+    keys = materialize(keys.hint("merge").join(low, "k").select("k", "id", "low", "size"), "buckets")
+    # candidates are (a, b) with a > b: a text and the least of a bucket, and fingerprints that differ in a few bits or none
+    name = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    near = near_links(prints.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
+    same = sketches.select("id", "fp").join(prints, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    pairs = keys.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(near).unionByName(same)
+    pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
+    # the texts of all others are not looked at again, nor moved
+    some = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = sifted(rows.select("id", F.col("text").cast("string").alias("text")), "id", sieve(some, "id"))
+    texts = materialize(texts.hint("merge").join(some, "id", "left_semi"), "candidate-texts")
+    # each with its least partner first; then all pairs that this has not brought under one
     first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_met(texts, apart))
-    # what is left: buckets of three or more whose texts are not all connected
+    links = _met(texts, first)
+    led = lambda c: links.select(F.col("a").alias(c), F.col("b").alias(f"{c}_led"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(led("a"), "a", "left").join(led("b"), "b", "left")
+    links = links.unionByName(_met(texts, apart.where(F.coalesce("a_led", "a") != F.coalesce("b_led", "b")).select("a", "b")))
     found = materialize(components(links), "found")
+    # what is left: buckets of three or more whose texts are not all connected
     placed = keys.where("size > 2").join(found, F.col("id") == F.col("node"), "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))
-    placed = materialize(placed, "placed")
     kinds = placed.groupBy("k", "size", "root").agg(F.count("*").alias("n")).groupBy("k", "size").agg(F.max("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = placed.drop("size").join(kinds.where("n < size").select("k", "main", (F.col("size") - F.col("n")).alias("others")), "k")
-    mixed = materialize(mixed, "mixed")
-    if mixed.isEmpty():
-        return components(links)
+    mixed = materialize(placed.drop("size").join(kinds.where("n < size").select("k", "main", (F.col("size") - F.col("n")).alias("others")), "k"), "mixed")
+    many = mixed.agg(F.max("others")).first()[0]
+    if many is None:
+        return found
     few = mixed.where(F.col("others") <= FEW)
     lone = few.where("root <> main").select("k", F.col("id").alias("x"), F.col("root").alias("x_root"))
     meets = few.join(lone, "k").where("root <> x_root").select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
-    links = links.unionByName(_met(texts, meets.join(pairs, ["a", "b"], "left_anti")))
-    links = links.unionByName(_in_blocks(texts, mixed.where(F.col("others") > FEW).select("k", "id")))
-    return components(links)
+    more = _met(texts, meets.join(pairs, ["a", "b"], "left_anti"))
+    if many > FEW:
+        more = more.unionByName(_in_blocks(texts, mixed.where(F.col("others") > FEW).select("k", "id")))
+    return found if more.isEmpty() else components(links.unionByName(more))
