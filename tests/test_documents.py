@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+import quadrille.components  # noqa: F401  (registers all components)
 from quadrille.functions.terms import quads_of, term_to_string
 from quadrille.functions.text import js_replace, matches
 from quadrille.operators import strategies as S
@@ -241,3 +242,10 @@ def test_subjects_with_many_targets(spark):
     df = spark.createDataFrame([([i], iri(s), iri(p), iri(o), ("default", "", None, None)) for s, i, p, o in rows], QUAD)
     got = S.ByResourceObject("T$").assign(df).select("doc", "o.value").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_progress_log(spark, tmp_path, capsys):
+    sink = build({"@type": "QuadSinkFile", "log": "true", "outputFormat": "application/n-triples", "iriToPath": {"^ex:": f"{tmp_path}/"}})
+    sink.write(S.BySubject().assign(quads_of(spark, "ex:a ex:p ex:o\nex:a ex:p ex:o\nex:b ex:p ex:o")))
+    assert capsys.readouterr().out == "Handled quads: 3 in 2 files\n"
+    assert (tmp_path / "a").read_text().count("\n") == 2
