@@ -96,6 +96,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: Sources by cap for their weight: those before the first that is not full have their cap, the others share what is left.
+ORACLE_SQL["op8_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), w AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+), o AS (SELECT *, 3 * n AS cap, row_number() OVER (ORDER BY 3 * n / weight, source NULLS LAST) AS k FROM w
+), t AS (SELECT *, (SELECT sum(n) FROM w) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o
+), f AS (SELECT k AS k0, rest AS left_, weights AS of_ FROM t WHERE cap * weights > rest * weight ORDER BY k LIMIT 1
+), share AS (SELECT source, n, (CASE WHEN k0 IS NULL OR k < k0 THEN cap ELSE left_ * weight END)::BIGINT AS a, (CASE WHEN k0 IS NULL OR k < k0 THEN 1 ELSE of_ END)::BIGINT AS b FROM t LEFT JOIN f ON true
+), plan AS (SELECT source, n, a::DOUBLE / b AS target, a // b + CASE WHEN 2 * (a % b) > b OR (2 * (a % b) = b AND a // b % 2 = 1) THEN 1 ELSE 0 END AS take FROM share
+), rows_ AS (SELECT doc_id, size, n, target, CASE WHEN n > 0 THEN take // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN take % n ELSE 0 END AS want,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source
+), taken AS (SELECT *, (passes * size + greatest(0, least(size, want - before)))::BIGINT AS taken FROM rows_)
+SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN size > 0 THEN taken // size ELSE 0 END::INT AS copies FROM taken
+"""
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place
