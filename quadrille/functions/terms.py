@@ -105,9 +105,15 @@ def format_term(c: Column | str) -> Column:
     )
 
 
+#: The formats that lines of quads can have.
+OUTPUT_FORMATS = ("application/n-quads", "application/n-triples", "text/turtle", "application/trig")
+
+
 def format_quad(output: str = "application/n-quads") -> Column:
     """A quad as a line: N-Quads and N-Triples end in " .", Turtle and TriG lines in "."; N-Triples and Turtle have no
     graphs."""
+    if output not in OUTPUT_FORMATS:
+        raise ValueError(f"no such output format: {output}")
     triple = F.concat_ws(" ", format_term("s"), format_term("p"), format_term("o"))
     if output in ("application/n-triples",):
         return F.concat(triple, F.lit(" ."))
@@ -115,9 +121,7 @@ def format_quad(output: str = "application/n-quads") -> Column:
         return F.concat(F.concat_ws(" ", triple, format_term("g")), F.lit(" ."))
     if output == "text/turtle":
         return F.concat(triple, F.lit("."))
-    if output == "application/trig":
-        return F.when(F.col("g.kind") == "default", F.concat(triple, F.lit("."))).otherwise(F.concat(format_term("g"), F.lit(" { "), triple, F.lit(" }")))
-    raise ValueError(f"no such output format: {output}")
+    return F.when(F.col("g.kind") == "default", F.concat(triple, F.lit("."))).otherwise(F.concat(format_term("g"), F.lit(" { "), triple, F.lit(" }")))
 
 
 def flat_map(df: DataFrame, quads: Column) -> DataFrame:
