@@ -26,8 +26,8 @@ from .common import WORD, materialize
 
 #: Times a document is taken at most.
 REPEATS = 3
-#: Patterns whose sums the driver takes at most; more are an error, not a sample. (So many of one source each take 1 s there,
-#: so many that overlap at random 20 s.)
+#: Patterns whose sums the driver takes at most; more are an error, not a sample. (So many of one source each take 2 s there,
+#: so many that overlap at random 16 s.)
 PATTERNS = 100_000
 #: Hash ranges that the last pass over a pattern is cut into, level by level, and the documents of a range that are few
 #: enough to be put in order.
