@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bounded, free_names, materialize, read_table, sieve, sifted
+from quadrille.llm.common import bounded, free_names, materialize, read_table, sieve, sifted, slim
 from quadrille.llm.langid import UNKNOWN, fit_languages, judged
 from quadrille.llm.mixing import mixture
 from quadrille.llm.packing import pack
@@ -37,6 +37,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents without a letter or of few, those between languages (won by less than MARGIN), and those that are
     like none (likeness below LIKE). lang becomes what was predicted. Where no document has a label to learn from, only
     those without a letter go, and lang stays."""
+    slim(spark)
     (p,) = free_names(docs, "p")
     model = fit_languages(docs)
     if not model.langs:
@@ -49,6 +50,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-copies, those that Jaccard similarities of 0.8 or more between the sets of
     their five-word shingles connect: the smallest by (id, row). Null ids come last. SimHash and min-wise bands find the candidates."""
+    slim(spark)
     row, sketch = free_names(docs, "row", "sketch")
     rows = materialize(with_bands(docs.withColumn(row, F.monotonically_increasing_id()), F.col("text"), sketch), "pipeline-sketches")
     # rows of a set are reduced to their least before groups are formed, and groups to theirs after
@@ -68,6 +70,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it whole, and once more if it takes half of it or more besides. A
     document without words is not taken."""
+    slim(spark)
     rows = mixture(docs, keep=tuple(docs.columns))
     times = F.coalesce(F.floor(F.try_divide("taken", "size") + 0.5), F.lit(0)).cast("int")
     return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
@@ -77,6 +80,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The pieces of all documents in windows of 1024 tokens."""
     import public_tokenizers
 
+    slim(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 

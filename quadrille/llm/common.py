@@ -83,6 +83,14 @@ def give_back() -> None:
     _libc("malloc_trim", 0)
 
 
+def slim(spark: SparkSession) -> None:
+    """Has each executor's JVM collect its garbage, whereupon it returns the heap that it does not use: what shuffles and sorts of one
+    stage made it take otherwise stays beside the next one's Python workers. As many tasks as there are cores, so that each
+    executor has some."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def thrifty(each):
     """An iterator function's batches. Within a task freed memory up to 32 MB is kept for the next array, as getting it anew costs as
     much time as filling it; at the end of the task it goes back."""
