@@ -55,3 +55,22 @@ def test_files_are_read_without_a_list(spark):
     df = QUERIES["snk_files"](spark, SF_DIR)
     assert "FileScan text" not in plan_of(df) and "MapInArrow" in plan_of(df)
     assert df.rdd.getNumPartitions() < 20 < df.count()
+
+
+def test_profiles_are_not_broadcast(spark, monkeypatch):
+    """Of the type index's joins none broadcasts, and quads that tell no profile are in none."""
+    from conftest import SF_DIR
+    from quadrille.operators import transforms as X
+    from quadrille.sources.tables import comments
+
+    plans = []
+
+    def seen(df, name):
+        plans.append(plan_of(df).split("== Physical Plan ==")[1])
+        return df
+
+    monkeypatch.setattr(X, "materialize", seen)
+    index = X.AppendSolidTypeIndex("vocabulary/Comment$", "vocabulary/hasCreator$", "settings/publicTypeIndex", "#comments", "comments/", True)
+    whole = plan_of(index.apply(comments(spark, SF_DIR))).split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0] + whole
+    assert "Union" in whole
