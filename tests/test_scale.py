@@ -76,7 +76,7 @@ def test_profiles_are_not_broadcast(spark, monkeypatch):
     assert "Union" in whole
 
 
-@pytest.mark.parametrize("name", ["trf_remap"])
+@pytest.mark.parametrize("name", ["trf_remap", "trf_varying"])
 def test_quads_that_touch_no_resource_stay(spark, name, monkeypatch):
     """Of posts and lines only quads with a post as subject move, by a narrow key, and lie dealt: no exchange moves quads of blank nodes."""
     from conftest import SF_DIR
@@ -121,3 +121,15 @@ def test_objects_are_renamed_wherever_their_quads_lie(spark):
     got = sorted((r.s.value, r.p.value, r.o.value) for r in out.where("p.value in ('ex:like', 'ex:has')").collect())
     assert got == [("b", "ex:like", "ex:u#1"), ("ex:u#1", "ex:has", "b"), ("ex:u#2", "ex:like", "ex:u#1"), ("ex:x", "ex:like", "b")]
     assert out.columns == ["seq", "s", "p", "o", "g"] and out.count() == 10
+
+
+def test_quads_between_two_variants_go_through_both(spark):
+    """A quad whose subject and object belong to different transformers is renamed by each; others are not doubled."""
+    from quadrille.operators.transforms import RemapResourceIdentifier, VaryingResource
+
+    text = """ex:r a ex:Post\nex:r ex:id "1"\nex:r ex:by ex:a\nex:q a ex:Post\nex:q ex:id "2"\nex:q ex:by ex:b\nex:q ex:like ex:r\nex:r ex:like ex:q\n_:b ex:like ex:r\n_:b ex:like _:c"""
+    each = [RemapResourceIdentifier(x, "Post$", "ex:id$", "ex:by$") for x in ("#A", "#B")]
+    out = VaryingResource("Post$", "ex:by$", each).apply(quads_of(spark, text))
+    assert out.columns == ["seq", "s", "p", "o", "g"] and out.count() == 10
+    got = sorted((r.s.value, r.o.value) for r in out.where("p.value = 'ex:like'").collect())
+    assert got == [("b", "c"), ("b", "ex:a#A1"), ("ex:a#A1", "ex:b#B2"), ("ex:b#B2", "ex:a#A1")]
