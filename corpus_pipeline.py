@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import bounded, free_names, materialize, read_table, sieve, sifted, slim
+from quadrille.llm.common import bounded, free_names, give_back, materialize, read_table, sieve, sifted, slim
 from quadrille.llm.langid import UNKNOWN, fit_languages, judged
 from quadrille.llm.mixing import mixture
 from quadrille.llm.packing import pack
@@ -28,8 +28,10 @@ MARGIN, LIKE, LETTERS = 0.15, -1.5, 0.25
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches TOXIC; the labels of the corpus teach the model. Null texts stay."""
+    slim(spark)
     (score,) = free_names(docs, "score")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    give_back()
     return docs.withColumn(score, toxicity(model, F.col("text"))).where((F.col(score) < TOXIC) | F.col("text").isNull()).drop(score)
 
 
@@ -40,6 +42,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     slim(spark)
     (p,) = free_names(docs, "p")
     model = fit_languages(docs)
+    give_back()
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = docs.withColumn(p, judged(model, F.col("text"))).where(F.col(p)["lang"] != UNKNOWN)

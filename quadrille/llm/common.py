@@ -56,6 +56,7 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrille-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    lean(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,10 +84,33 @@ def give_back() -> None:
     _libc("malloc_trim", 0)
 
 
+#: MB of heap up to which lean() leaves the driver's JVM alone.
+LEAN = 320
+
+
+def lean(spark: SparkSession) -> None:
+    """Where the driver's JVM has taken more than LEAN of heap, has it collect its garbage, keep little free heap beside what lives, and
+    return the rest: it holds the state of many plans and tasks, and grows to its limit otherwise, however little of that lives. Its
+    settings stay."""
+    jvm = spark._jvm
+    if jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20 <= LEAN:
+        return
+    try:
+        kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        flags = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+        for name, percent in (("MinHeapFreeRatio", "10"), ("MaxHeapFreeRatio", "25")):
+            flags.setVMOption(name, percent)
+    except Exception:  # another kind of JVM, or limits of its own
+        pass
+    jvm.java.lang.System.gc()
+
+
 def slim(spark: SparkSession) -> None:
-    """Has each executor's JVM collect its garbage, whereupon it returns the heap that it does not use: what shuffles and sorts of one
+    """Leans the driver, and has each executor's JVM collect its garbage, whereupon it returns the heap that it does not use: what shuffles and sorts of one
     stage made it take otherwise stays beside the next one's Python workers. As many tasks as there are cores, so that each
     executor has some."""
+    give_back()
+    lean(spark)
     n = max(1, spark.sparkContext.defaultParallelism)
     spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
