@@ -704,6 +704,29 @@ def test_encoder_forgets(library, monkeypatch):
         assert encoder.encode([text])[0].tolist() == library(text)
 
 
+def test_encoder_keeps_what_it_meets_again(library, monkeypatch):
+    """Beyond what a worker keeps, parts that were met once make room, and those that come again are not learned twice."""
+    monkeypatch.setattr(tokens, "PARTS", 60)
+    encoder, learned = tokens.Encoder(TOKENIZER), Counter()
+    plain = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.update(new.to_pylist()), plain(new))[1])
+    for k in range(30):
+        text = "some short and some considerably longer " + " ".join(f"{random.Random(100 * k + i).randbytes(5).hex().translate(str.maketrans('0123456789', 'ghijklmnop'))}" for i in range(20))
+        assert encoder.encode([text])[0].tolist() == library(text)
+    assert {learned[x] for x in ("some", " short", " and", " some", " considerably", " longer")} == {1}
+    assert len(encoder.short.names) + len(encoder.long.names) <= 60 + 26
+
+
+def test_encoder_of_short_and_long_parts(library):
+    """Parts about the length up to which they are numbers, NUL bytes included, each new and then known."""
+    some = [f"{x}{'a' * k}{y}" for k in range(12) for x in ("", " ", "\0", "é", " é", "\0\0") for y in ("", "\0", "é", "\0\0", " \0", "\n")]
+    encoder = tokens.Encoder(TOKENIZER)
+    for _ in range(2):
+        ids, n = encoder.encode(some)
+        ends = np.cumsum(n)
+        assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [library(t) for t in some]
+
+
 # ---- near-copies in hot buckets
 
 
