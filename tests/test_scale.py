@@ -133,3 +133,17 @@ def test_quads_between_two_variants_go_through_both(spark):
     assert out.columns == ["seq", "s", "p", "o", "g"] and out.count() == 10
     got = sorted((r.s.value, r.o.value) for r in out.where("p.value = 'ex:like'").collect())
     assert got == [("b", "c"), ("b", "ex:a#A1"), ("ex:a#A1", "ex:b#B2"), ("ex:b#B2", "ex:a#A1")]
+
+
+def test_quads_that_tell_of_resources_are_sought_once(spark, monkeypatch):
+    """Of all quads those that tell a type, an identifier or a target are written once; what is found reads them alone."""
+    from conftest import SF_DIR
+    from quadrille.operators import resources as R
+    from quadrille.sources.tables import lines, posts
+
+    seen, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda *a, **b: seen.append(write(*a, **b)) or seen[-1])
+    n, df = posts(spark, SF_DIR).count() // 4, posts(spark, SF_DIR).unionByName(lines(spark, SF_DIR))
+    found = R.resources(df, "Post$", "hasCreator$", "vocabulary/id$")
+    assert seen[0].count() == 3 * n and found.where("done is not null").count() == n
+    assert "lineitem" not in plan_of(found) and "orders" not in plan_of(found)
