@@ -48,3 +48,13 @@ def test_keyed_counts_what_whole_groups_count(spark, monkeypatch, batch):
     assert by == {("http://x/a", "p", 2, 2, 2), ("http://x/a", "q", 5, 4, 4), ("http://x/a", "r", 1, 1, 1)}
     # in one batch only what several link to and cycles are followed
     assert batch == "2" or rounds == [5]
+
+
+def test_pairs_move_once_for_both_directions(spark):
+    """Pairs are those of the plain way, where terms are equal or stand in several positions too, and fewer rows meet."""
+    text = "<x:a> <x:p> <x:b>\n<x:b> <x:p> <x:a>\n<x:a> <x:p> <x:a>\n<x:p> <x:p> <x:c>\n<x:a> <x:z> <x:p>\n<x:z> <x:a> \"l\"\n<x:p> <x:p> <x:p>"
+    rows = quads_of(spark, text).select(F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("dataset"), "s", "p", "o")
+    got = summaries.bloom_pairs(rows)
+    want = summaries._pairs(rows).distinct()
+    assert sorted(got.collect()) == sorted(want.collect()) and got.columns == want.columns
+    assert "bit_or" in got._jdf.queryExecution().toString()
